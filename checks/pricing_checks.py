@@ -13,16 +13,23 @@ def attr(column, kind, out):
 
 
 PRICE_STEPS = lambda x: f"(CASE WHEN {x} < 100 THEN round_even({x} / 5, 0) * 5 WHEN {x} < 1000 THEN round_even({x} / 25, 0) * 25 ELSE round_even({x} / 100, 0) * 100 END)"
+
+
+def priced(name, factor):
+    return f"""{name} AS (SELECT product_id, product_class, abs({PRICE_STEPS('x')}) AS price FROM (
+  SELECT f.*, (lo + hi) / 2 + (hi - lo) / 6 * 0.4967141530112327::double AS x FROM
+   (SELECT *, greatest(least({factor}, 3.5::double), 0.3::double) AS mult FROM factors) f
+   LEFT JOIN ranges r USING (product_class), LATERAL (SELECT r.price_min * mult AS lo, r.price_max * mult AS hi) e) z)"""
+
+
 BASE = f"""{duck('c')}, {weights_duck()}, {thresholds_duck()}, {ranges_duck()},
 {attr('material', 'material', 'mm')}, {attr('style', 'style', 'sm')}, {attr('countryoforigin', 'countryoforigin', 'cm')},
 rm AS (SELECT product_id, CASE WHEN average_rating IS NULL THEN 1.0::double ELSE greatest(0.8::double, least(coalesce((SELECT arg_min(multiplier, seq) FROM thresholds
    WHERE least(greatest(average_rating, 1.0), 5.0) BETWEEN low AND high), 1.0::double), 1.4::double)) END AS m FROM c),
 factors AS (SELECT c.*, mm.m AS material_multiplier, sm.m AS style_multiplier, cm.m AS country_multiplier, rm.m AS rating_multiplier
   FROM c JOIN mm USING (product_id) JOIN sm USING (product_id) JOIN cm USING (product_id) JOIN rm USING (product_id)),
-priced AS (SELECT product_id, product_class, average_rating, price_min, price_max, abs({PRICE_STEPS('x')}) AS price, x FROM (
-  SELECT f.*, r.price_min, r.price_max, (lo + hi) / 2 + (hi - lo) / 6 * 0.4967141530112327::double AS x FROM
-   (SELECT *, greatest(least(material_multiplier * style_multiplier * rating_multiplier, 3.5::double), 0.3::double) AS mult FROM factors) f
-   LEFT JOIN ranges r USING (product_class), LATERAL (SELECT r.price_min * mult AS lo, r.price_max * mult AS hi) e) z)"""
+{priced('priced', 'material_multiplier * style_multiplier * rating_multiplier')},
+{priced('priced_country', 'material_multiplier * style_multiplier * country_multiplier * rating_multiplier')}"""
 
 
 def products(spark, sf):
@@ -60,10 +67,10 @@ def _(spark, sf):
     return products(spark, sf).join(ranges_frame(spark), "product_class", "left").select("product_id", F.round(pr.base_price(F.col("price_min"), F.col("price_max")), 6).alias("base_price"))
 
 
-@check("realistic_price", f"WITH {BASE} SELECT product_id, price FROM priced WHERE average_rating IS NOT NULL")
+@check("realistic_price", f"WITH {BASE} SELECT product_id, price FROM priced_country")
 def _(spark, sf):
-    m = multipliers(spark, sf).join(ranges_frame(spark), "product_class", "left").filter(F.col("average_rating").isNotNull())
-    total = F.col("material_multiplier") * F.col("style_multiplier") * F.col("rating_multiplier")
+    m = multipliers(spark, sf).join(ranges_frame(spark), "product_class", "left")
+    total = F.col("material_multiplier") * F.col("style_multiplier") * F.col("country_multiplier") * F.col("rating_multiplier")
     return m.select("product_id", pr.realistic_price(F.col("price_min"), F.col("price_max"), total).alias("price"))
 
 

@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+# Tables up to this many rows are sent to every task when a join asks for it.
+MAX_BROADCAST_ROWS = 200_000
 # Up to this many entries a lookup travels inside the plan as one map; beyond it the jobs join.
 MAX_INLINE_ENTRIES = 2000
 
@@ -11,6 +13,11 @@ def fits_inline(lookup: DataFrame, limit: int = MAX_INLINE_ENTRIES) -> bool:
     return lookup.limit(limit + 1).count() <= limit
 
 
+def small_side(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Mark a table for broadcast after counting it up to ``limit`` rows; a larger one is joined by shuffle."""
+    return F.broadcast(df) if fits_inline(df, limit) else df
+
+
 def as_map(lookup: DataFrame, key, value):
     """One map value holding a whole (checked, small, unique-key) lookup table."""
     return lookup.agg(F.map_from_entries(F.collect_list(F.struct(key, value)))).scalar()
@@ -19,3 +26,8 @@ def as_map(lookup: DataFrame, key, value):
 def as_array(lookup: DataFrame, *columns):
     """One sorted array of structs holding a whole (checked, small) lookup table."""
     return lookup.agg(F.array_sort(F.collect_list(F.struct(*columns)))).scalar()
+
+
+def bind(value, expression):
+    """``expression(value)`` with ``value`` computed once, also where lambdas use it repeatedly."""
+    return F.get(F.transform(F.array(value), expression), F.lit(0))

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfrank.functions.draws import triangular, uniform
-from shelfrank.functions.lookup import as_map, fits_inline
+from shelfrank.functions.lookup import as_map, bind, fits_inline
 from shelfrank.functions.ranking import quantiles, stack_columns
 from shelfrank.functions.text import clean_value, strip
 from shelfrank.session import materialize
@@ -36,11 +36,15 @@ def feature_items(features: Column) -> Column:
             strip(F.substr(item, F.instr(item, ":") + 1)).alias("value"),
         ),
     )
-    keys = F.array_distinct(F.transform(pairs, lambda p: p.key))
-    return F.transform(
-        keys,
-        lambda k: F.struct(k.alias("key"), F.element_at(F.filter(pairs, lambda p: p.key == k), -1).value.alias("value")),
-    )
+
+    def last_values(items):
+        keys = F.array_distinct(F.transform(items, lambda p: p.key))
+        return F.transform(
+            keys,
+            lambda k: F.struct(k.alias("key"), F.element_at(F.filter(items, lambda p: p.key == k), -1).value.alias("value")),
+        )
+
+    return bind(pairs, last_values)
 
 
 def parse_features(df: DataFrame, column: str = "product_features") -> DataFrame:
@@ -52,7 +56,7 @@ def parse_features(df: DataFrame, column: str = "product_features") -> DataFrame
 
     df = df.withColumn("_items", feature_items(F.col(column)))
     for attribute, marker in FEATURE_MARKERS.items():
-        df = df.withColumn(attribute, F.when(F.size(marked(marker)) > 0, marked(marker)))
+        df = df.withColumn(attribute, bind(marked(marker), lambda v: F.when(F.size(v) > 0, v)))
     return df.drop("_items")
 
 
