@@ -15,7 +15,7 @@ ABSENT_RULES = ("positive", "truthy", "null_only")
 def prepare_params(queries: DataFrame, absent: str = "positive") -> DataFrame:
     """Null out the parameters that set no condition.
 
-    Lists lose blank entries; an empty list is no condition. Numbers are no condition
+    Lists lose blank and repeated entries; an empty list is no condition. Numbers are no condition
     when null and, depending on the rule, when not above zero (``positive``) or when
     zero (``truthy``). Parameter columns the table lacks are added as null.
     """
@@ -27,7 +27,7 @@ def prepare_params(queries: DataFrame, absent: str = "positive") -> DataFrame:
             out[name] = F.lit(None).cast("array<string>")
             continue
         values = F.col(name) if queries.schema[name].dataType.typeName() == "array" else F.array(name)
-        kept = F.filter(F.transform(values, strip), lambda v: v != "")
+        kept = F.array_distinct(F.filter(F.transform(values, strip), lambda v: v != ""))
         out[name] = F.when(F.size(kept) > 0, kept)
     for name in RANGE_PARAMS:
         if name not in queries.columns:
