@@ -3,9 +3,13 @@
 from pyspark.sql import Column, functions as F
 
 
-def strip(c: Column) -> Column:
+WHITE_SPACE = " \t\n\r\f\x0b"
+WORD = r"[\p{L}\p{N}]+"
+
+
+def strip(c) -> Column:
     """Remove all leading and trailing white space, not only blanks."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def collapse_spaces(c: Column) -> Column:
@@ -22,6 +26,20 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def token_count(c: Column) -> Column:
+    """Number of tokens, without building the list."""
+    return F.regexp_count(F.lower(F.coalesce(c, F.lit(""))), F.lit(WORD))
+
+
+def explode_tokens(words: Column) -> Column:
+    """One row per word; a text without words gives one row with a null word.
+
+    A plain explode makes the optimizer add a non-empty filter that builds every
+    list a second time; this form does not.
+    """
+    return F.explode_outer(words)
+
+
 def bigrams(words: Column) -> Column:
     """Adjacent word pairs joined by one blank."""
     return F.when(

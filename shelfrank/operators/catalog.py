@@ -82,24 +82,28 @@ def valid_values(lookup: DataFrame) -> DataFrame:
     return lookup.select("category", F.explode("normalized").alias("value")).distinct()
 
 
+def _targets(lookup: DataFrame) -> DataFrame:
+    """The lookup plus one row that maps each valid target to itself.
+
+    What this table does not know is not valid, so one look-up both maps and filters.
+    """
+    itself = valid_values(lookup).select("category", F.col("value").alias("raw"), F.array("value").alias("normalized"))
+    known = lookup.select("category", "raw", "normalized")
+    return known.unionByName(itself.join(known.select("category", "raw"), ["category", "raw"], "left_anti"))
+
+
 def _normalize_inline(df, lookup, categories):
     columns = df.columns
-    for column, category in categories.items():
-        rows = lookup.filter(F.col("category") == category)
-        df = df.withColumn(f"_{column}_targets", as_map(rows, "raw", "normalized"))
-        df = df.withColumn(f"_{column}_valid", F.array_distinct(F.flatten(F.map_values(f"_{column}_targets"))))
-
+    table = _targets(lookup)
+    maps = {col: as_map(table.filter(F.col("category") == cat), "raw", "normalized") for col, cat in categories.items()}
+    df = df.withColumns({f"_{col}_targets": m for col, m in maps.items()})
 
-    def targets(column, value):
-        return F.coalesce(F.try_element_at(F.col(f"_{column}_targets"), value), F.array(value))
+    def mapped(column):
+        targets = F.col(f"_{column}_targets")
+        lists = F.transform(column, lambda v: F.coalesce(F.try_element_at(targets, F.lower(strip(v))), empty_list()))
+        return F.coalesce(F.array_distinct(F.flatten(lists)), empty_list())
 
-    for column in categories:
-        valid = F.col(f"_{column}_valid")
-        keyed = F.transform(column, lambda v: F.lower(strip(v)))
-        mapped = F.flatten(F.transform(keyed, lambda v: targets(column, v)))
-        # array_intersect keeps the order of its first argument and drops repeats.
-        df = df.withColumn(column, F.coalesce(F.array_intersect(mapped, valid), empty_list()))
-    return df.select(*columns)
+    return df.withColumns({c: mapped(c) for c in categories}).select(*columns)
 
 
 def _normalize_joined(df, lookup, categories, key):
@@ -109,10 +113,8 @@ def _normalize_joined(df, lookup, categories, key):
         .select(key, "pair.category", F.posexplode("pair.items").alias("pos", "item"))
         .withColumn("raw", F.lower(strip("item")))
     )
-    mapped = (
-        values.join(lookup.select("category", "raw", "normalized"), ["category", "raw"], "left")
-        .select(key, "category", "pos", F.posexplode(F.coalesce("normalized", F.array("raw"))).alias("sub", "value"))
-        .join(valid_values(lookup), ["category", "value"], "left_semi")
+    mapped = values.join(_targets(lookup), ["category", "raw"]).select(
+        key, "category", "pos", F.posexplode("normalized").alias("sub", "value")
     )
     # A product holds few values per attribute, so the lists collected here are short.
     collected = mapped.groupBy(key).agg(
@@ -127,9 +129,7 @@ def _normalize_joined(df, lookup, categories, key):
         ]
     )
     joined = df.join(collected, key, "left")
-    for col in categories:
-        joined = joined.withColumn(col, F.coalesce(f"_{col}", empty_list()))
-    return joined.select(*df.columns)
+    return joined.withColumns({c: F.coalesce(f"_{c}", empty_list()) for c in categories}).select(*df.columns)
 
 
 def normalize_values(df: DataFrame, lookup: DataFrame, categories, key: str = "product_id", method: str = "auto") -> DataFrame:

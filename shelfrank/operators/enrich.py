@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfrank.functions.draws import pick, uniform
 from shelfrank.functions.ranking import top_k
-from shelfrank.functions.text import bigrams, collapse_spaces, strip, tokens
+from shelfrank.functions.text import bigrams, collapse_spaces, explode_tokens, strip, tokens
 
 MAX_DESCRIPTIONS = 10
 MIN_RESULTS = 15
@@ -63,7 +63,7 @@ def mine_class_terms(texts: DataFrame, vocabulary: DataFrame, k: int = MAX_TERMS
         "product_class", F.array_distinct(F.concat("words", bigrams(F.col("words")))).alias("phrases")
     )
     per_class = (
-        parts.select("product_class", F.explode("phrases").alias("term"))
+        parts.select("product_class", explode_tokens(F.col("phrases")).alias("term"))
         .filter(F.length("term") >= min_length)
         .groupBy("product_class", "term")
         .agg(F.count("*").alias("df"))

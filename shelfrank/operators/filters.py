@@ -45,16 +45,17 @@ def match_condition(product, query, class_text: bool = False) -> Column:
     """All conditions of a prepared query on a product; both arguments map a name to a column."""
     keep = F.lit(True)
     any_condition = F.lit(False)
-    for attribute in LIST_ATTRIBUTES:
-        wanted, unwanted = query(attribute), query(f"{attribute}_negated")
-        keep &= wanted.isNull() | F.coalesce(F.arrays_overlap(product(attribute), wanted), F.lit(False))
-        keep &= unwanted.isNull() | ~F.coalesce(F.arrays_overlap(product(attribute), unwanted), F.lit(False))
-        any_condition |= wanted.isNotNull() | unwanted.isNotNull()
+    # The cheap comparisons come first.
     for column, param, upper in RANGES:
         bound = query(param)
         inside = product(column) <= bound if upper else product(column) >= bound
         keep &= bound.isNull() | F.coalesce(inside, F.lit(False))
         any_condition |= bound.isNotNull()
+    for attribute in LIST_ATTRIBUTES:
+        wanted, unwanted = query(attribute), query(f"{attribute}_negated")
+        keep &= wanted.isNull() | F.coalesce(F.arrays_overlap(product(attribute), wanted), F.lit(False))
+        keep &= unwanted.isNull() | ~F.coalesce(F.arrays_overlap(product(attribute), unwanted), F.lit(False))
+        any_condition |= wanted.isNotNull() | unwanted.isNotNull()
     if class_text:
         # The class only narrows a search that has some other condition.
         named = F.contains(F.lower(product("product_class")), F.lower(query("product_class")))
@@ -89,6 +90,6 @@ def param_filter(products: DataFrame, queries: DataFrame, absent: str = "positiv
         .select("product_id", F.struct(*LIST_ATTRIBUTES, *[r[0] for r in RANGES], "product_class", "tags").alias("p"), F.explode("tags").alias("anchor"))
     )
     # A product may hold several of the wanted values: only the first of them counts.
-    first = F.get(F.array_intersect(F.col("q.anchors"), F.col("p.tags")), F.lit(0)) == F.col("anchor")
+    first = (F.size("q.anchors") == 1) | (F.get(F.array_intersect(F.col("q.anchors"), F.col("p.tags")), F.lit(0)) == F.col("anchor"))
     matches = match_condition(lambda n: F.col(f"p.{n}"), lambda n: F.col(f"q.{n}"), class_text)
-    return right.join(left, "anchor").filter(first & matches).select("query_id", "product_id")
+    return right.join(left, "anchor").filter(matches & first).select("query_id", "product_id")

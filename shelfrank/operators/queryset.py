@@ -11,6 +11,7 @@ from shelfrank.functions.lookup import small_side
 from shelfrank.functions.ranking import top_k
 from shelfrank.functions.text import collapse_spaces
 from shelfrank.operators.profiling import most_common, value_counts
+from shelfrank.session import materialize
 
 N_CLASSES = 50
 MAX_ATTEMPTS = 10
@@ -289,13 +290,16 @@ def validate_queries(attempts: DataFrame, search, targets=None, min_results: int
 
     ``attempts`` has one row per (query_type, slot, attempt); ``search(queries)`` returns
     (query_id, product_id, position) for all of them at once. The first attempt of a slot
-    with enough hits wins, then the first slots of each type up to its target.
+    with enough hits wins, then the first slots of each type up to its target. The
+    attempts and their hits are both read more than once, so each is written out once.
     """
     targets = targets or EXPECTED
-    keyed = attempts.withColumn("slot_id", F.col("query_id")).withColumn(
-        "query_id", F.concat_ws("#", F.col("query_id"), F.col("attempt").cast("string"))
+    keyed = materialize(
+        attempts.withColumn("slot_id", F.col("query_id")).withColumn(
+            "query_id", F.concat_ws("#", F.col("query_id"), F.col("attempt").cast("string"))
+        )
     )
-    hits = search(keyed)
+    hits = materialize(search(keyed))
     enough = hits.groupBy("query_id").agg(F.count("*").alias("n_hits")).filter(F.col("n_hits") >= min_results)
     passed = top_k(keyed.join(enough, "query_id"), ["slot_id"], ["attempt"], 1, "_first").drop("_first")
     wanted = F.create_map(*[x for t, n in targets.items() for x in (F.lit(t), F.lit(n))])

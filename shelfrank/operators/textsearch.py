@@ -2,9 +2,9 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfrank.functions.lookup import MAX_BROADCAST_ROWS, fits_inline, small_side
+from shelfrank.functions.lookup import MAX_BROADCAST_ROWS, as_map, fits_inline, small_side
 from shelfrank.functions.ranking import top_k
-from shelfrank.functions.text import tokens
+from shelfrank.functions.text import explode_tokens, token_count, tokens
 from shelfrank.operators.filters import LIST_ATTRIBUTES, LIST_PARAMS, RANGE_PARAMS, RANGES, match_condition, prepare_params
 
 # Fixed values of the term weight.
@@ -49,9 +49,10 @@ def term_weight(tf: Column, df: Column, length: Column, mean_length: Column, doc
 def sparse_vectors(texts: DataFrame, key: str = "product_id") -> DataFrame:
     """Weight of every term of every document in long form: (key, term, tf, weight)."""
     parts = texts.select(key, tokens(F.col("text")).alias("words"))
-    stats = parts.agg(F.struct(F.count("*").alias("docs"), F.avg(F.size("words")).alias("mean_length"))).scalar()
+    stats = texts.agg(F.struct(F.count("*").alias("docs"), F.avg(token_count(F.col("text"))).alias("mean_length"))).scalar()
     counted = (
-        parts.select(key, F.size("words").alias("length"), F.explode("words").alias("term"))
+        parts.select(key, F.size("words").alias("length"), explode_tokens(F.col("words")).alias("term"))
+        .filter(F.col("term").isNotNull())
         .groupBy(key, "length", "term")
         .agg(F.count("*").alias("tf"))
     )
@@ -93,14 +94,18 @@ def search_texts(texts: DataFrame, queries: DataFrame, n: int, text: str = "quer
     vocabulary = terms.select("term").distinct()
     words = texts.select("product_id", "field", "boost", tokens(F.col("text")).alias("words"))
     found = (
-        words.select("product_id", "field", "boost", F.size("words").alias("length"), F.explode("words").alias("term"))
+        words.select("product_id", "field", "boost", F.size("words").alias("length"), explode_tokens(F.col("words")).alias("term"))
         .join(send(vocabulary), "term", "left_semi")
         .repartition("product_id")
         .groupBy("product_id", "field", "boost", "length", "term")
         .agg(F.count("*").alias("tf"))
     )
     spread = found.groupBy("field", "term").agg(F.count("*").alias("df"))
-    lengths = words.groupBy("field").agg(F.count("*").alias("docs"), F.avg(F.size("words")).alias("mean_length"))
+    # One entry per field, of which there are a handful.
+    lengths = as_map(
+        texts.groupBy("field").agg(F.struct(F.count("*").alias("docs"), F.avg(token_count(F.col("text"))).alias("mean_length")).alias("stats")),
+        "field", "stats",
+    )
     if products is not None:
         attributes = F.struct(*LIST_ATTRIBUTES, *[r[0] for r in RANGES]).alias("p")
         found = found.join(products.select("product_id", attributes), "product_id")
@@ -109,10 +114,11 @@ def search_texts(texts: DataFrame, queries: DataFrame, n: int, text: str = "quer
     matches = found.join(send(terms), "term")
     if products is not None:
         matches = matches.filter(match_condition(lambda c: F.col(f"p.{c}"), lambda c: F.col(f"q.{c}")))
-    weight = term_weight(F.col("tf"), F.col("df"), F.col("length"), F.col("mean_length"), F.col("docs"))
+    stats = F.col("lengths")[F.col("field")]
+    weight = term_weight(F.col("tf"), F.col("df"), F.col("length"), stats.mean_length, stats.docs)
     scores = (
         matches.join(send(spread), ["field", "term"])
-        .join(send(lengths), "field")
+        .withColumn("lengths", lengths)
         .groupBy("query_id", "product_id")
         .agg(F.round(F.sum(F.col("boost") * F.col("qtf") * weight), SCORE_DIGITS).alias("score"))
     )
