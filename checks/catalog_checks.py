@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from checks.fixtures import class_mapping_duck, class_mapping_frame, duck, lookup_duck, lookup_frame, table, view
 from checks.registry import check, rounded
 from shelfrank.operators import catalog as cat
+from shelfrank.session import materialize
 
 SEED = 42
 
@@ -73,7 +74,8 @@ def normalized(spark, sf):
 
 
 def imputed(spark, sf):
-    return cat.impute_mean_median(cat.fill_description(normalized(spark, sf)))
+    # Read three times below, so it is written out once.
+    return cat.impute_mean_median(materialize(cat.fill_description(normalized(spark, sf))))
 
 
 def repaired(spark, sf):
