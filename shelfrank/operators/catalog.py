@@ -316,7 +316,7 @@ def assign_dense_ids(df: DataFrame, order, prefix: str = "product_", column: str
     return (
         placed.join(offsets, "_part")
         .withColumn(column, F.concat(F.lit(prefix), number.cast("string")))
-        .select(*df.columns)
+        .select(*[c for c in df.columns if c != column], column)
     )
 
 
