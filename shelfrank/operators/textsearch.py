@@ -1,11 +1,15 @@
 """Sparse term weights and exact text search over one or several fields."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfrank.functions.lookup import MAX_BROADCAST_ROWS, as_map, fits_inline, small_side
 from shelfrank.functions.ranking import top_k
 from shelfrank.functions.text import explode_tokens, token_count, tokens
 from shelfrank.operators.filters import LIST_ATTRIBUTES, LIST_PARAMS, RANGE_PARAMS, RANGES, match_condition, prepare_params
+from shelfrank.session import materialize
+
 
 # Fixed values of the term weight.
 K1 = 1.2
@@ -76,8 +80,18 @@ def query_terms(queries: DataFrame, text: str = "query_text") -> DataFrame:
     )
 
 
+def by_document(df: DataFrame) -> DataFrame:
+    """Partition by document in as many parts as the session shuffles into.
+
+    The number is given explicitly because what follows grows the rows: merging small
+    partitions here, as the optimizer otherwise would, leaves too few tasks for it.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, "product_id")
+
+
 def search_texts(texts: DataFrame, queries: DataFrame, n: int, text: str = "query_text", products: DataFrame | None = None,
-                 absent: str = "positive") -> DataFrame:
+                 absent: str = "positive", max_terms: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """n best documents per query by summed term weights: (query_id, product_id, score, position).
 
     ``texts`` has product_id, field, boost, text: statistics are per field, scores add
@@ -87,42 +101,57 @@ def search_texts(texts: DataFrame, queries: DataFrame, n: int, text: str = "quer
     by document once; frequencies, conditions and scores are then all computed inside
     that partitioning, and each task passes on n rows per query. A term found in most
     documents therefore never moves its document-query pairs over the network.
+
+    Query words beyond ``max_terms`` rows are searched in blocks of about that size over
+    the same written document weights.
     """
     terms = query_terms(queries, text)
-    # Everything sent to all tasks below is at most as large as this checked table.
-    send = F.broadcast if fits_inline(terms, MAX_BROADCAST_ROWS) else (lambda table: table)
+    small = fits_inline(terms, max_terms)
+    # Everything sent to all tasks below is about as large as a checked table or block.
+    send = F.broadcast if small else (lambda table: table)
     vocabulary = terms.select("term").distinct()
     words = texts.select("product_id", "field", "boost", tokens(F.col("text")).alias("words"))
-    found = (
+    found = by_document(
         words.select("product_id", "field", "boost", F.size("words").alias("length"), explode_tokens(F.col("words")).alias("term"))
         .join(send(vocabulary), "term", "left_semi")
-        .repartition("product_id")
-        .groupBy("product_id", "field", "boost", "length", "term")
-        .agg(F.count("*").alias("tf"))
     )
-    spread = found.groupBy("field", "term").agg(F.count("*").alias("df"))
+    counted = found.groupBy("product_id", "field", "boost", "length", "term").agg(F.count("*").alias("tf"))
+    spread = counted.groupBy("field", "term").agg(F.count("*").alias("df"))
     # One entry per field, of which there are a handful.
     lengths = as_map(
         texts.groupBy("field").agg(F.struct(F.count("*").alias("docs"), F.avg(token_count(F.col("text"))).alias("mean_length")).alias("stats")),
         "field", "stats",
     )
-    if products is not None:
-        attributes = F.struct(*LIST_ATTRIBUTES, *[r[0] for r in RANGES]).alias("p")
-        found = found.join(products.select("product_id", attributes), "product_id")
-        params = F.struct(*LIST_PARAMS, *RANGE_PARAMS).alias("q")
-        terms = terms.join(prepare_params(queries, absent).select("query_id", params), "query_id")
-    matches = found.join(send(terms), "term")
-    if products is not None:
-        matches = matches.filter(match_condition(lambda c: F.col(f"p.{c}"), lambda c: F.col(f"q.{c}")))
     stats = F.col("lengths")[F.col("field")]
     weight = term_weight(F.col("tf"), F.col("df"), F.col("length"), stats.mean_length, stats.docs)
-    scores = (
-        matches.join(send(spread), ["field", "term"])
+    weighted = (
+        counted.join(send(spread), ["field", "term"])
         .withColumn("lengths", lengths)
-        .groupBy("query_id", "product_id")
-        .agg(F.round(F.sum(F.col("boost") * F.col("qtf") * weight), SCORE_DIGITS).alias("score"))
+        .groupBy("product_id", "term")
+        .agg(F.sum(F.col("boost") * weight).alias("weight"))
     )
-    return top_k(scores, ["query_id"], [F.desc("score"), "product_id"], n)
+    if products is not None:
+        attributes = F.struct(*LIST_ATTRIBUTES, *[r[0] for r in RANGES]).alias("p")
+        weighted = weighted.join(products.select("product_id", attributes), "product_id")
+        params = F.struct(*LIST_PARAMS, *RANGE_PARAMS).alias("q")
+        terms = terms.join(prepare_params(queries, absent).select("query_id", params), "query_id")
+
+    def best(asked):
+        matches = weighted.join(F.broadcast(asked), "term")
+        if products is not None:
+            matches = matches.filter(match_condition(lambda c: F.col(f"p.{c}"), lambda c: F.col(f"q.{c}")))
+        scores = matches.groupBy("query_id", "product_id").agg(
+            F.round(F.sum(F.col("qtf") * F.col("weight")), SCORE_DIGITS).alias("score")
+        )
+        return top_k(scores, ["query_id"], [F.desc("score"), "product_id"], n)
+
+    if small:
+        return best(terms)
+    terms = materialize(terms)
+    blocks = -(-terms.count() // max_terms)
+    weighted = by_document(materialize(weighted))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [best(terms.filter(block == i)) for i in range(blocks)])
 
 
 def one_field(df: DataFrame, column: str = "text") -> DataFrame:
@@ -139,8 +168,7 @@ def sparse_dot_topk(postings: DataFrame, query_postings: DataFrame, n: int = 120
     wanted = query_postings.select("query_id", "term", F.col("weight").alias("query_weight"))
     # The small side meets the postings inside their document partitions.
     scores = (
-        postings.join(wanted.select("term").distinct(), "term", "left_semi")
-        .repartition("product_id")
+        by_document(postings.join(wanted.select("term").distinct(), "term", "left_semi"))
         .join(small_side(wanted), "term")
         .groupBy("query_id", "product_id")
         .agg(F.round(F.sum(F.col("weight") * F.col("query_weight")), SCORE_DIGITS).alias("score"))

@@ -46,7 +46,7 @@ def test_search_pairs_stay_in_their_partition(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("product_id"), "text")
     asked = spark.read.parquet(f"{SF}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     text = plan(ts.sparse_topk(docs, asked, 20))
-    assert "hashpartitioning(query_id#" in text and "REPARTITION_BY_COL" in text
+    assert "hashpartitioning(query_id#" in text and "REPARTITION_BY_NUM" in text
     assert not re.search(r"Exchange hashpartitioning\(query_id#\d+L?, product_id#", text)
 
 

@@ -140,14 +140,14 @@ def test_sparse_topk_matches_brute_force(spark):
         assert [s for _, s in got.get(k, [])] == pytest.approx([s for _, s in want], abs=1e-8)
 
 
-def test_search_without_broadcast_agrees(spark, monkeypatch):
+def test_search_in_blocks_agrees(spark):
     _, _, p, q = data(spark)
-    a = sorted(map(str, ts.fielded_search(p, q).collect()))
-    monkeypatch.setattr(ts, "MAX_BROADCAST_ROWS", 1)
+    fields = p.select("product_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(b).alias("boost"), F.col(f).alias("text")) for f, b in (("product_name", 3.0), ("product_description", 2.0))])).alias("f")).select("product_id", "f.*")
+    a = sorted(map(str, ts.search_texts(fields, q, 10, products=p).collect()))
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        b = sorted(map(str, ts.fielded_search(p, q).collect()))
+        b = sorted(map(str, ts.search_texts(fields, q, 10, products=p, max_terms=25).collect()))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert a == b and a
