@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfrank.functions.draws import pick, uniform
+from shelfrank.functions.lookup import small_side
 from shelfrank.functions.ranking import top_k
 from shelfrank.functions.text import bigrams, collapse_spaces, explode_tokens, strip, tokens
 
@@ -176,7 +177,7 @@ def extract_params(queries: DataFrame, vocabulary: DataFrame, text: str = "query
         )
     )
     phrases = vocabulary.select("category", "value", F.array_join(tokens(F.col("value")), " ").alias("phrase")).filter("phrase != ''")
-    found = words.select("query_id", F.explode(runs).alias("r")).select("query_id", "r.*").join(phrases, "phrase")
+    found = words.select("query_id", F.explode(runs).alias("r")).select("query_id", "r.*").join(small_side(phrases), "phrase")
     # A query is short, so the lists per query are too.
     def listed(category, negated):
         mine = (F.col("category") == category) & (F.col("negated") == negated)

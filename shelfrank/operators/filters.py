@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelfrank.functions.lookup import small_side
 from shelfrank.functions.text import strip
 
 LIST_ATTRIBUTES = ("color", "material", "style")
@@ -73,7 +74,9 @@ def param_filter(products: DataFrame, queries: DataFrame, absent: str = "positiv
 
     Products meet queries by an equi-join on one attribute value the query asks for;
     the other conditions ride on that join, so only matching pairs leave it. Queries
-    that ask for no attribute meet all products under a common key.
+    that ask for no attribute meet all products under a common key. A query table of
+    checked size goes to the products, which then are not shuffled; with a larger one
+    the join shuffles on the value and the optimizer splits the frequent ones.
     """
     q = prepare_params(queries, absent)
     anchors = F.array(F.lit("any"))
@@ -92,4 +95,4 @@ def param_filter(products: DataFrame, queries: DataFrame, absent: str = "positiv
     # A product may hold several of the wanted values: only the first of them counts.
     first = (F.size("q.anchors") == 1) | (F.get(F.array_intersect(F.col("q.anchors"), F.col("p.tags")), F.lit(0)) == F.col("anchor"))
     matches = match_condition(lambda n: F.col(f"p.{n}"), lambda n: F.col(f"q.{n}"), class_text)
-    return right.join(left, "anchor").filter(matches & first).select("query_id", "product_id")
+    return right.join(small_side(left), "anchor").filter(matches & first).select("query_id", "product_id")

@@ -2,7 +2,6 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from shelfrank.functions.lookup import fits_inline
 from shelfrank.functions.ranking import top_k
 from shelfrank.operators.filters import LIST_ATTRIBUTES, LIST_PARAMS, RANGE_PARAMS, RANGES
 from shelfrank.operators.textsearch import product_text, query_text_expand, sparse_topk
@@ -21,7 +20,6 @@ SEARCH_PARAM_NAMES = (
     "price_max", "rating_min", "rating_count_min", "material", "color", "style",
     "material_negated", "color_negated", "style_negated", "natural_query",
 )
-MAX_CLASSES = 4096
 
 
 def dbsf_fusion(lists: DataFrame, k: int) -> DataFrame:
@@ -79,32 +77,26 @@ def numeric_score(value: Column, top: float, logarithmic: bool) -> Column:
 def multi_attribute_search(products: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K, absent: str = "positive") -> DataFrame:
     """Weighted sum of description, class, rating count, rating and price similarity under hard filters.
 
-    The five parts are laid side by side in one vector, the weights go into the query
-    vector, so the exact search is the one over vectors. Weights may be negative;
-    description and class count 1 and the numbers 0 where a query sets no weight.
+    Description and numbers are laid side by side in one vector and their weights go into
+    the query vector, so the exact search is the one over vectors; an equal class adds its
+    weight. Weights may be negative; description and class count 1 and the numbers 0 where
+    a query sets no weight.
     """
-    named = queries.select(F.lower("product_class").alias("c")).filter(F.col("c") != "").distinct()
-    if not fits_inline(named, MAX_CLASSES):
-        raise ValueError(f"more than {MAX_CLASSES} classes asked for")
-    classes = named.agg(F.array_sort(F.collect_set("c"))).scalar()
-
-    def one_hot(weight):
-        mine = F.lower(F.col("product_class"))
-        return F.transform("_classes", lambda c: F.when(c == mine, weight).otherwise(F.lit(0.0)))
 
     def weight(name, default):
         return F.coalesce(F.col(name).cast("double"), F.lit(default)) if name in queries.columns else F.lit(default)
 
-    numbers = F.array(*[F.coalesce(numeric_score(F.col(c), *NUMBER_SPACES[c]), F.lit(0.0)) for c in ("rating_count", "average_rating", "price")])
-    docs = products.withColumn("_classes", classes).withColumn("vector", F.concat(unit(F.col("vector")), one_hot(F.lit(1.0)), numbers))
-    w_description = weight("description_space_weight", 1.0) * weight("description_similar_weight", 1.0)
-    w_class = weight("class_space_weight", 1.0) * weight("class_similar_weight", 1.0)
+    spaces = ("rating_count", "average_rating", "price")
+    numbers = F.array(*[F.coalesce(numeric_score(F.col(c), *NUMBER_SPACES[c]), F.lit(0.0)) for c in spaces])
+    lowered = F.nullif(F.lower("product_class"), F.lit(""))
+    docs = products.withColumn("vector", F.concat(unit(F.col("vector")), numbers)).withColumn("product_class", lowered)
     w_numbers = F.array(*[weight(w, 0.0) for w in ("rating_count_weight", "rating_weight", "price_weight")])
     asked = (
-        queries.withColumn("_classes", classes)
-        .withColumn("_w", w_description)
+        queries.withColumn("_w", weight("description_space_weight", 1.0) * weight("description_similar_weight", 1.0))
         .withColumn("_unit", unit(F.col("vector")))
-        .withColumn("vector", F.concat(F.transform("_unit", lambda x: x * F.col("_w")), one_hot(w_class), w_numbers))
+        .withColumn("vector", F.concat(F.transform("_unit", lambda x: x * F.col("_w")), w_numbers))
+        .withColumn("class_weight", weight("class_space_weight", 1.0) * weight("class_similar_weight", 1.0))
+        .withColumn("product_class", lowered)
     )
     return vector_topk(docs, asked, k, "dot", True, absent)
 

@@ -80,10 +80,12 @@ def scan_result_rows(spark: SparkSession, path) -> DataFrame:
 
 
 def _numbered_lines(spark, path):
-    """Lines with their place in the input: file, then place inside the file."""
-    return spark.read.text(path).select(
-        F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at")).alias("seq"), "value"
+    """Lines with their place in the input: file, start of the split, place inside the split."""
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("at"),
     )
+    return spark.read.text(path).select(place.alias("seq"), "value")
 
 
 def string_or_list(value):

@@ -97,6 +97,26 @@ def test_dense_topk_is_exact_under_conditions(spark, options):
         assert [s for _, s in mine] == pytest.approx([-s for s, _ in scores], abs=1e-8)
 
 
+@pytest.mark.parametrize("max_inline", [1024, 4])
+def test_weighted_search_sums_its_parts(spark, monkeypatch, max_inline):
+    products, queries, p, q = data(spark, n_products=60, n_queries=12)
+    q = q.withColumn("price_weight", F.lit(-0.5)).withColumn("class_space_weight", F.lit(0.25))
+    run = vec.vector_topk
+    monkeypatch.setattr(rt, "vector_topk", lambda *a: run(*a, max_inline=max_inline, docs_per_chunk=20))
+    got = {}
+    for r in rt.multi_attribute_search(p, q, 5).orderBy("query_id", "position").collect():
+        got.setdefault(r.query_id, []).append((r.product_id, r.score))
+    for b in queries:
+        scored = []
+        for a in products:
+            if holds(a, b):
+                price = math.log1p(a[7]) / math.log1p(5900) if a[7] is not None else 0.0
+                same = bool(b[2]) and b[2].lower() == a[2].lower()
+                scored.append((-round(cosine([F32(x) for x in a[10]], [F32(x) for x in b[12]]) - 0.5 * price + 0.25 * same, 9), a[0]))
+        want = sorted(scored)[:5]
+        assert [d for d, _ in got.get(b[0], [])] == [d for _, d in want]
+
+
 def F32(x):
     import struct
 
