@@ -169,11 +169,15 @@ def _one_attribute(slots: DataFrame, seed: int, choices) -> DataFrame:
 
 
 def _finish(df: DataFrame, text: Column, description: Column) -> DataFrame:
-    df = df.withColumn("query_text", text).withColumn("product_description", description)
-    missing = {p: F.lit(None).cast("string") for p in TEXT_PARAMS if p not in df.columns}
-    missing |= {p: F.lit(None).cast("double") for p in NUMBER_PARAMS if p not in df.columns}
-    df = df.withColumns(missing).withColumn("query_id", F.format_string("%s-%03d", "query_type", "slot"))
-    return cleanup_params(df.select("query_id", "query_type", "slot", "attempt", "query_text", *TEXT_PARAMS, *NUMBER_PARAMS))
+    have = set(df.columns) - {"product_description"}
+
+    def param(name, kind):
+        column = description if name == "product_description" else F.col(name) if name in have else F.lit(None)
+        return column.cast(kind).alias(name)
+
+    texts, numbers = [param(p, "string") for p in TEXT_PARAMS], [param(p, "double") for p in NUMBER_PARAMS]
+    query_id = F.format_string("%s-%03d", "query_type", "slot").alias("query_id")
+    return cleanup_params(df.select(query_id, "query_type", "slot", "attempt", text.alias("query_text"), *texts, *numbers))
 
 
 def gen_simple(slots: DataFrame, seed: int = 42) -> DataFrame:
@@ -269,10 +273,9 @@ def gen_queries(profile: DataFrame, counts=None, attempts: int = 1, seed: int =
 def cleanup_params(queries: DataFrame) -> DataFrame:
     """Empty texts, zeros and empty lists become null."""
     out = {}
-    for p in TEXT_PARAMS + NUMBER_PARAMS:
-        if p not in queries.columns:
-            continue
-        kind = queries.schema[p].dataType.typeName()
+    kinds = {f.name: f.dataType.typeName() for f in queries.schema.fields}
+    for p in [p for p in TEXT_PARAMS + NUMBER_PARAMS if p in kinds]:
+        kind = kinds[p]
         if kind == "array":
             out[p] = F.when(F.size(p) > 0, F.col(p))
         elif kind == "string":
