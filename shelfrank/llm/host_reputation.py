@@ -59,7 +59,8 @@ def levels_of(host: Column) -> tuple[Column, Column, Column]:
 def prior_weight(groups: DataFrame) -> Column:
     """Pages a group's prior is worth, from the spread of the groups' shares beyond what chance gives.
 
-    ``groups`` has ``good`` and ``n`` of each labelled group. Rounded, so the order of summing does not show.
+    ``groups`` has ``good`` and ``n`` of each group. Groups that differ no more than by chance get the most, a table
+    without labels the least. Rounded, so the order of summing does not show.
     """
     sums = groups.filter("n > 0").agg(
         F.sum("n").cast("double").alias("pages"), F.sum("good").cast("double").alias("good"), F.count(F.lit(1)).cast("double").alias("groups"),
@@ -70,7 +71,7 @@ def prior_weight(groups: DataFrame) -> Column:
     room = F.col("pages") - F.col("squares") / F.col("pages") - (F.col("groups") - 1)
     beyond = (F.col("spread") - p * F.col("good")) / chance - (F.col("groups") - 1)
     share = F.when((chance > 0) & (room > 0), F.round(beyond / room, 6))
-    weight = F.when(share > 0, (1 - share) / share).otherwise(F.lit(MOST_WEIGHT))
+    weight = F.when(F.col("pages").isNull(), F.lit(LEAST_WEIGHT)).when(share > 0, (1 - share) / share).otherwise(F.lit(MOST_WEIGHT))
     return sums.select(F.least(F.lit(MOST_WEIGHT), F.greatest(F.lit(LEAST_WEIGHT), weight))).scalar()
 
 

@@ -222,13 +222,16 @@ class Model:
         return ids, source[ends - sizes], source[ends]
 
     def decode(self, ids) -> bytes:
-        """The text of some ids: marks become spaces, the first piece's leading one goes if the normaliser adds one."""
+        """The text of some ids: marks become spaces, the first piece's leading one goes if the normaliser adds one, and all leading ones if it squeezes spaces."""
         table = self.decoded
-        out = b"".join([table[i] for i in ids])
-        if len(ids) and (self.prefix or self.squeeze):
-            first = next((i for i in ids if table[i]), None)
-            if first in self.marked:
-                out = out[1:]
+        texts = [table[i] for i in ids]
+        if self.prefix or self.squeeze:
+            for at, i in enumerate(ids):
+                if i in self.marked:
+                    texts[at] = texts[at][1:]
+                if texts[at] or i in self.marked and not self.squeeze:
+                    break
+        out = b"".join(texts)
         try:
             out.decode()
             return out

@@ -103,8 +103,8 @@ def _rule_sql() -> str:
 
 def _weight_sql(groups: str) -> str:
     low, high = host_reputation.LEAST_WEIGHT, host_reputation.MOST_WEIGHT
-    return f"""(SELECT least({high}::double, greatest({low}::double, CASE WHEN share > 0 THEN (1 - share) / share ELSE {high}::double END)) FROM (
-  SELECT CASE WHEN p * (1 - p) > 0 AND pages - squares / pages - (k - 1) > 0 THEN round(((spread - p * good) / (p * (1 - p)) - (k - 1)) / (pages - squares / pages - (k - 1)), 6) END AS share FROM (
+    return f"""(SELECT least({high}::double, greatest({low}::double, CASE WHEN pages IS NULL THEN {low}::double WHEN share > 0 THEN (1 - share) / share ELSE {high}::double END)) FROM (
+  SELECT pages, CASE WHEN p * (1 - p) > 0 AND pages - squares / pages - (k - 1) > 0 THEN round(((spread - p * good) / (p * (1 - p)) - (k - 1)) / (pages - squares / pages - (k - 1)), 6) END AS share FROM (
    SELECT *, good / pages AS p FROM (SELECT sum(n)::double AS pages, sum(good)::double AS good, count(*)::double AS k, sum(n * n)::double AS squares, sum((good * good)::double / n) AS spread FROM {groups} WHERE n > 0))))"""
 
 
