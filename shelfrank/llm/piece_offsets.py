@@ -29,6 +29,8 @@ PIECES, TRAINER, NORMALIZER = 1, 2, 3
 BPE = 2
 # Characters the library merges at once; a cut lies between another character and a mark.
 BLOCK = 4096
+# Pieces a worker gathers before it hands them on.
+BATCH = 200_000
 CUT = re.compile(f"[^{MARK}](?={MARK})")
 
 
@@ -265,19 +267,26 @@ def encoded(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
     encoded as an empty one: no pieces. Pieces made by the normaliser alone have empty spans;
     of a character in byte pieces each piece has its byte. Repeated rows are encoded each.
     """
-    kind = "id " + dict(df.dtypes)[id_col] + ", ids array<int>, begins array<bigint>, ends array<bigint>" + ", decoded string" * decode
+    kind = "id " + dict(df.dtypes)[id_col] + ", ids array<int>, begins array<int>, ends array<int>" + ", decoded string" * decode
+    names = ["id", "ids", "begins", "ends", "decoded"][: 4 + decode]
+
+    def batch_of(keys, made):
+        cuts = pa.array(np.concatenate([[0], np.cumsum([len(m[0]) for m in made])]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([m[i] for m in made]).astype(np.int32))) for i in range(3)]
+        return pa.RecordBatch.from_arrays([keys, *lists] + [pa.array([m[3] for m in made], pa.string())] * decode, names)
 
     def run(batches):
         read = Model(model)
         for batch in batches:
-            made = []
-            for raw in batch.column(1).to_pylist():
-                ids, begins, ends = read.encode(raw or b"")
+            keys, texts, made, first, held = batch.column(0), batch.column(1), [], 0, 0
+            for row in range(len(texts)):
+                ids, begins, ends = read.encode(texts[row].as_py() or b"")
                 made.append((ids, begins, ends, read.decode(ids.tolist()).decode() if decode else None))
-            cuts = pa.array(np.concatenate([[0], np.cumsum([len(m[0]) for m in made])]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([m[i] for m in made] or [np.zeros(0)]).astype(t))) for i, t in enumerate((np.int32, np.int64, np.int64))]
-            out = [batch.column(0), *lists] + [pa.array([m[3] for m in made], pa.string())] * decode
-            yield pa.RecordBatch.from_arrays(out, ["id", "ids", "begins", "ends", "decoded"][: len(out)])
+                held += len(ids)
+                # Results go back in batches of bounded size.
+                if held >= BATCH or row == len(texts) - 1:
+                    yield batch_of(keys.slice(first, len(made)), made)
+                    made, first, held = [], row + 1, 0
 
     return pick(df, id=id_col, text=text_col).select("id", F.col("text").cast("binary").alias("raw")).mapInArrow(run, kind)
 
