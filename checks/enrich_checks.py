@@ -45,7 +45,7 @@ def _(spark, sf):
 
 @check("mine_class_terms", f"""WITH {duck('c')}, w AS MATERIALIZED (SELECT doc_id, lang AS product_class, {TOKENS('text')} AS w FROM documents),
  ph AS (SELECT product_class, unnest(list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))) AS term FROM w),
- pc AS (SELECT product_class, term, count(*) AS df FROM ph WHERE length(term) >= 3 GROUP BY ALL), ov AS (SELECT term, sum(df) AS df_all FROM pc GROUP BY ALL),
+ pc AS (SELECT product_class, term, count(*) AS df FROM ph GROUP BY ALL), ov AS (SELECT term, sum(df) AS df_all FROM pc GROUP BY ALL),
  s AS (SELECT product_class, term, df, {rounded('df * ln((SELECT count(*) FROM documents) / df_all)', 9)} AS score FROM pc JOIN ov USING (term) WHERE df >= 2 AND term NOT IN (SELECT lower(x) FROM (SELECT DISTINCT unnest(color) AS x FROM c) y))
  SELECT product_class, position, term, df, {rounded('score', 6)} AS score FROM (SELECT *, cast(row_number() OVER (PARTITION BY product_class ORDER BY score DESC, term) AS int) AS position FROM s) z WHERE position <= 8""")
 def _(spark, sf):
@@ -86,14 +86,14 @@ def _(spark, sf):
 
 ASK_SQL = f"""asks AS (SELECT product_id AS query_id, 'Old World ' || color[1] || ' ' || product_class || ', not ' || coalesce(material[1], 'wood') || ' material, ' ||
  CASE p_partkey % 4 WHEN 0 THEN 'under $' || rating_count WHEN 1 THEN 'with more than 3.5 stars rating' WHEN 2 THEN 'with more than ' || rating_count || ' ratings' ELSE 'for ' || style[1] || ' rooms' END AS query_text FROM c)"""
-VOCAB = f"""vocab AS (SELECT category, v AS value, array_to_string({TOKENS('v')}, ' ') AS phrase FROM (SELECT DISTINCT 'color' AS category, unnest(color) AS v FROM c UNION SELECT 'material', unnest(material) FROM c UNION SELECT 'style', unnest(style) FROM c UNION SELECT 'product_class', product_class FROM c) x)"""
+VOCAB = f"""vocab AS (SELECT category, v AS value, array_to_string({TOKENS('v')}, ' ') AS phrase FROM (SELECT DISTINCT 'color' AS category, unnest(color) AS v FROM c UNION SELECT 'material', unnest(material) FROM c UNION SELECT 'style', unnest(style) FROM c UNION SELECT 'product_class', product_class FROM c UNION SELECT 'style', 'Old World ' || color[1] || ' ' || product_class || ', not wood' FROM c) x)"""
 GIVEN = lambda c, neg: f"""coalesce((SELECT array_to_string(list(value ORDER BY start, len, value), '|') FROM (SELECT value, min(start) AS start, arg_min(n, start) AS len FROM found f WHERE f.query_id = a.query_id AND category = '{c}' AND {'' if neg else 'NOT '}negated GROUP BY value) y), '') AS {c}{'_negated' if neg else ''}"""
 LISTED = ", ".join(f"coalesce({c}{'_negated' if neg else ''}, '') AS {c}{'_negated' if neg else ''}" for neg in (False, True) for c in ("color", "material", "style"))
 GATHER = ", ".join(f"array_to_string(list(value ORDER BY start, n, value) FILTER (category = '{c}' AND {'' if neg else 'NOT '}negated), '|') AS {c}{'_negated' if neg else ''}" for neg in (False, True) for c in ("color", "material", "style"))
 
 
 @check("extract_params", f"""WITH {duck('c')}, {ASK_SQL}, {VOCAB}, t AS MATERIALIZED (SELECT query_id, {TOKENS('query_text')} AS w FROM asks),
- runs AS (SELECT query_id, n, start, array_to_string(w[start:start + n - 1], ' ') AS phrase, coalesce(start > 1 AND w[start - 1] = 'not', false) AS negated FROM t, range(1, 5) x(n), LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS start) s),
+ runs AS (SELECT query_id, n, start, array_to_string(w[start:start + n - 1], ' ') AS phrase, coalesce(start > 1 AND w[start - 1] = 'not', false) AS negated FROM t, range(1, 9) x(n), LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS start) s),
  found AS (SELECT query_id, category, value, negated, min(start) AS start, min(n) AS n, max(length(phrase)) AS pl FROM runs JOIN vocab USING (phrase) GROUP BY ALL),
  g AS (SELECT query_id, {GATHER}, arg_max(value, pl * 1000 - start) FILTER (category = 'product_class' AND NOT negated) AS product_class FROM found GROUP BY query_id)
  SELECT a.query_id, {LISTED}, product_class, cast(nullif(regexp_extract(lower(query_text), 'under \\$?(\\d+(?:\\.\\d+)?)', 1), '') AS double) AS price_max,
@@ -109,7 +109,9 @@ def _(spark, sf):
     )
     text = F.concat(F.lit("Old World "), F.get("color", F.lit(0)), F.lit(" "), "product_class", F.lit(", not "), F.coalesce(F.get("material", F.lit(0)), F.lit("wood")), F.lit(" material, "), tail)
     asks = p.select(F.col("product_id").alias("query_id"), text.alias("query_text"))
-    out = en.extract_params(asks, en.prompt_vocab(p))
+    # Values of six and more words as well.
+    long = p.select(F.lit("style").alias("category"), F.concat(F.lit("Old World "), F.get("color", F.lit(0)), F.lit(" "), "product_class", F.lit(", not wood")).alias("value")).distinct()
+    out = en.extract_params(asks, en.prompt_vocab(p).union(long))
     lists = [f"{c}{s}" for c in ("color", "material", "style") for s in ("", "_negated")]
     return out.withColumns({c: F.coalesce(F.array_join(c, "|"), F.lit("")) for c in lists})
 

@@ -1,23 +1,21 @@
 """Readers and writers: whole tables are written in the file format and read back."""
 
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from checks.fixtures import duck, table, view
 from checks.registry import check, rounded
 from shelfrank.operators import queryset as qs, textsearch as ts
+from shelfrank.session import shared_folder
 from shelfrank.sources import readers as rd, writers as wr
 
 LISTS = ["material", "style", "color", "countryoforigin"]
 
 
 def folder(spark):
-    """A new folder: in the place the cluster shares where it names one, else on this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    name = f"io-{next(tempfile._get_candidate_names())}"
-    return f"{base.rstrip('/')}/{name}" if base else os.path.join(tempfile.mkdtemp(prefix="shelfrank-"), name)
+    """A new folder among the session's intermediate data."""
+    return f"{shared_folder(spark).rstrip('/')}/io-{uuid.uuid4().hex}"
 
 
 def joined(*columns):
@@ -49,17 +47,19 @@ def _(spark, sf):
     )
 
 
-@check("scan_json_array", f"WITH {duck('q')} SELECT query_id, query_type, query_text, product_class, nullif(color[1], '') AS color, price_max, rating_min, price_weight FROM q")
+@check("scan_json_array", f"WITH {duck('q')} SELECT query_id, query_type, query_text, product_class, coalesce(array_to_string(color, '|'), '') AS color, price_max, rating_min, price_weight FROM q")
 def _(spark, sf):
     path = folder(spark)
     q = view(spark, sf, "q")
-    flat = q.withColumn("color", F.get("color", F.lit(0)))
     names = ["product_class", "color", "price_max", "rating_min", "price_weight"]
-    nested = flat.select(F.to_json(F.struct("query_id", "query_type", "query_text", F.struct(*names).alias("query_params"))).alias("j"), "query_type")
+    entry = lambda color: F.to_json(F.struct("query_id", "query_type", "query_text", F.struct(*[color.alias(n) if n == "color" else n for n in names]).alias("query_params")))
+    # One colour stands as a string, several as a list.
+    text = F.when(F.size("color") == 1, entry(F.get("color", F.lit(0)))).otherwise(entry(F.col("color")))
+    nested = q.select(text.alias("j"), "query_type")
     # One array per query type: the number of queries is the size of a vocabulary.
     arrays = nested.groupBy("query_type").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("value"))
     arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
-    return rd.flatten_params(rd.scan_json_array(spark, path)).select("query_id", "query_type", "query_text", *names)
+    return rd.flatten_params(rd.scan_json_array(spark, path)).select("query_id", "query_type", "query_text", *names).withColumn("color", F.coalesce(F.array_join("color", "|"), F.lit("")))
 
 
 @check("scan_result_map", f"WITH {duck('result_map')} SELECT query_id, array_to_string(product_ids, '|') AS product_ids FROM result_map")
@@ -118,7 +118,7 @@ def _(spark, sf):
 
 def stored_embeddings(spark, sf):
     """Embedding lines, every other one in the older sparse layout."""
-    rows = table(spark, sf, "embeddings").withColumn("pos", F.sequence(F.lit(0), F.lit(2))).withColumn("val", F.transform(F.slice("embedding", 1, 3), lambda x: F.round(x.cast("double"), 6)))
+    rows = table(spark, sf, "embeddings").withColumn("pos", F.sequence(F.lit(0), F.size("embedding") - 1)).withColumn("val", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)))
     odd = F.col("vec_id") % 2 == 1
     sparse = F.struct(F.when(~odd, F.col("pos")).alias("indices"), F.when(odd, F.col("pos")).alias("dimensions"), F.col("val").alias("values"))
     meta = F.struct(F.concat(F.lit("label "), F.col("label")).alias("product_name"), F.col("label").cast("bigint").alias("rating_count"))
@@ -126,12 +126,12 @@ def stored_embeddings(spark, sf):
     return rows.select(ident.alias("id"), F.col("embedding").alias("dense_embedding"), sparse.alias("sparse_embedding"), meta.alias("metadata"))
 
 
-@check("scan_embeddings", f"""SELECT CASE label WHEN 3 THEN 'item-' ELSE 'product_' END || vec_id AS product_id, len(embedding) AS size, {rounded('embedding[64]::double', 6)} AS last_value, '0|1|2' AS indices,
+@check("scan_embeddings", f"""SELECT CASE label WHEN 3 THEN 'item-' ELSE 'product_' END || vec_id AS product_id, len(embedding) AS size, {rounded('embedding[64]::double', 6)} AS last_value, array_to_string(range(len(embedding)), '|') AS indices,
  {rounded('embedding[2]::double', 6)} AS second, 'label ' || label AS product_name, label::bigint AS rating_count FROM embeddings""")
 def _(spark, sf):
     path = folder(spark)
     stored_embeddings(spark, sf).write.json(path)
-    got = rd.scan_embeddings(spark, path)
+    got, _rejects = rd.scan_embeddings(spark, path)
     return got.select(
         "product_id", F.size("vector").cast("long").alias("size"), F.round(F.element_at("vector", -1).cast("double"), 6).alias("last_value"), F.array_join("sparse.indices", "|").alias("indices"),
         F.round(F.get("sparse.values", F.lit(1)), 6).alias("second"), "metadata.product_name", "metadata.rating_count",

@@ -12,7 +12,6 @@ from shelfrank.operators.retrieval import result_lists
 from shelfrank.plans import benchmark as bm
 from shelfrank.plans.catalog import build_catalog
 
-SAMPLE = 400
 
 
 def catalog(spark, sf):
@@ -23,12 +22,12 @@ def catalog(spark, sf):
     )
     return build_catalog(
         raw, lookup_frame(spark), class_mapping_frame(spark), ranges_frame(spark), weights_frame(spark), thresholds_frame(spark),
-        synthetic, SAMPLE, predict=False,
+        synthetic, predict=False,
     )
 
 
 CATALOG = f"""WITH {P}, {NORMALIZE}{REPAIR}, {class_mapping_duck()}, {weights_duck()}, {thresholds_duck()}, {ranges_duck()},
-sampled AS (SELECT product_id, product_name, product_class, material, style, average_rating, rating_count FROM repaired WHERE product_description IS NOT NULL ORDER BY md5('42|' || product_id), product_id LIMIT {SAMPLE}),
+sampled AS (SELECT product_id, product_name, product_class, material, style, average_rating, rating_count FROM repaired WHERE product_description IS NOT NULL),
 united AS (SELECT *, false AS syn FROM sampled UNION ALL SELECT 's_' || s_suppkey, s_name, 'PROMO', ['wood'], ['glam'], 4.6::double, NULL, true FROM supplier),
 c AS (SELECT 'product_' || row_number() OVER (ORDER BY syn, u.product_id) AS product_id, product_name, coalesce(m.product_class_fixed, u.product_class) AS product_class, material, style, average_rating, rating_count
   FROM united u LEFT JOIN class_mapping m ON m.product_class = u.product_class),

@@ -60,11 +60,12 @@ def _(spark, sf):
     return prof.describe_numeric(products(spark, sf), ["price", "rating_count", "average_rating"]).withColumn("value", F.round("value", 6))
 
 
-@check("histogram", f"""WITH v AS (SELECT l_quantity * l_tax * 10 AS v FROM lineitem WHERE l_quantity * l_tax * 10 < 35), e AS (SELECT min(v) AS lo, (max(v) - min(v)) / 100 AS w FROM v)
- SELECT cast(least(floor((v - lo) / w), 99) AS bigint) AS bin, {rounded('lo + least(floor((v - lo) / w), 99) * w', 6)} AS bin_low, count(*) AS n FROM v JOIN e ON true GROUP BY ALL""")
+@check("histogram", f"""WITH v AS (SELECT l_quantity * l_tax * 10 AS v FROM lineitem), e AS (SELECT min(v) AS lo, (max(v) - min(v)) / 100 AS w FROM v),
+ f AS (SELECT cast(least(floor((v - lo) / w), 99) AS bigint) AS bin, count(*) AS n FROM v JOIN e ON true GROUP BY ALL)
+ SELECT bin, {rounded('lo + bin * w', 6)} AS bin_low, coalesce(n, 0) AS n FROM (SELECT unnest(range(100)) AS bin) b LEFT JOIN f USING (bin) JOIN e ON true""")
 def _(spark, sf):
     lines = table(spark, sf, "lineitem").withColumn("v", F.col("l_quantity") * F.col("l_tax") * 10)
-    return prof.histogram(lines, "v", 100, 35).select("bin", F.round("bin_low", 6).alias("bin_low"), "n")
+    return prof.histogram(lines, "v", 100).select("bin", F.round("bin_low", 6).alias("bin_low"), "n")
 
 
 @check("unpriced_classes", f"WITH {C} SELECT DISTINCT product_class FROM c WHERE price IS NULL")

@@ -2,8 +2,9 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-# Tables up to this many rows are sent to every task when a join asks for it.
+# Tables up to this many rows and about this many bytes are sent to every task when a join asks for it.
 MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_BYTES = 64 << 20
 # Up to this many entries a lookup travels inside the plan as one map; beyond it the jobs join.
 MAX_INLINE_ENTRIES = 2000
 
@@ -13,9 +14,20 @@ def fits_inline(lookup: DataFrame, limit: int = MAX_INLINE_ENTRIES) -> bool:
     return lookup.limit(limit + 1).count() <= limit
 
 
-def small_side(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Mark a table for broadcast after counting it up to ``limit`` rows; a larger one is joined by shuffle."""
-    return F.broadcast(df) if fits_inline(df, limit) else df
+def small_side(df: DataFrame, limit: int = MAX_BROADCAST_ROWS, most_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Mark a table for broadcast after measuring up to ``limit`` rows of it; one with more rows or bytes is joined by shuffle.
+
+    Bytes are those of the rows as JSON text. Both ways give the same rows.
+    """
+    written = F.octet_length(F.to_json(F.struct(*df.columns)))
+    rows, size = df.limit(limit + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(written), F.lit(0))).first()
+    return F.broadcast(df) if rows <= limit and size <= most_bytes else df
+
+
+def last_of(lookup: DataFrame, keys, value: str) -> DataFrame:
+    """One row per key: the value of the last row by ``seq`` where the table has that column, else the largest."""
+    chosen = F.max_by(value, "seq") if "seq" in lookup.columns else F.max(value)
+    return lookup.groupBy(*keys).agg(chosen.alias(value))
 
 
 def as_map(lookup: DataFrame, key, value):

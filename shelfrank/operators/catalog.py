@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfrank.functions.draws import triangular, uniform
-from shelfrank.functions.lookup import as_map, bind, fits_inline
+from shelfrank.functions.lookup import as_map, bind, fits_inline, last_of, small_side
 from shelfrank.functions.ranking import quantiles, stack_columns
 from shelfrank.functions.text import clean_value, strip
 from shelfrank.session import materialize
@@ -85,10 +85,11 @@ def valid_values(lookup: DataFrame) -> DataFrame:
 def _targets(lookup: DataFrame) -> DataFrame:
     """The lookup plus one row that maps each valid target to itself.
 
-    What this table does not know is not valid, so one look-up both maps and filters.
+    What this table does not know is not valid, so one look-up both maps and filters. Of a
+    repeated raw value the last row counts (the largest list where rows have no ``seq``).
     """
-    itself = valid_values(lookup).select("category", F.col("value").alias("raw"), F.array("value").alias("normalized"))
-    known = lookup.select("category", "raw", "normalized")
+    known = last_of(lookup, ["category", "raw"], "normalized")
+    itself = valid_values(known).select("category", F.col("value").alias("raw"), F.array("value").alias("normalized"))
     return known.unionByName(itself.join(known.select("category", "raw"), ["category", "raw"], "left_anti"))
 
 
@@ -107,17 +108,21 @@ def _normalize_inline(df, lookup, categories):
 
 
 def _normalize_joined(df, lookup, categories, key):
-    pairs = F.array(*[F.struct(F.lit(cat).alias("category"), F.col(col).alias("items")) for col, cat in categories.items()])
+    # Rows that share a key may hold other lists, so key and lists together name what is regrouped.
+    ids = {f"_id{i}": c for i, c in enumerate(dict.fromkeys([key, *categories]))}
+    named = {c: n for n, c in ids.items()}
+    pairs = F.array(*[F.struct(F.lit(cat).alias("category"), F.col(named[col]).alias("items")) for col, cat in categories.items()])
     values = (
-        df.select(key, F.explode(pairs).alias("pair"))
-        .select(key, "pair.category", F.posexplode("pair.items").alias("pos", "item"))
+        df.select(*[F.col(c).alias(n) for n, c in ids.items()]).distinct()
+        .select(*ids, F.explode(pairs).alias("pair"))
+        .select(*ids, "pair.category", F.posexplode("pair.items").alias("pos", "item"))
         .withColumn("raw", F.lower(strip("item")))
     )
     mapped = values.join(_targets(lookup), ["category", "raw"]).select(
-        key, "category", "pos", F.posexplode("normalized").alias("sub", "value")
+        *ids, "category", "pos", F.posexplode("normalized").alias("sub", "value")
     )
     # A product holds few values per attribute, so the lists collected here are short.
-    collected = mapped.groupBy(key).agg(
+    collected = mapped.groupBy(*ids).agg(
         *[
             F.array_distinct(
                 F.transform(
@@ -128,7 +133,10 @@ def _normalize_joined(df, lookup, categories, key):
             for col, cat in categories.items()
         ]
     )
-    joined = df.join(collected, key, "left")
+    same = F.lit(True)
+    for n, c in ids.items():
+        same &= df[c].eqNullSafe(collected[n])
+    joined = df.join(collected, same, "left")
     return joined.withColumns({c: F.coalesce(f"_{c}", empty_list()) for c in categories}).select(*df.columns)
 
 
@@ -154,7 +162,7 @@ def normalize_features(df: DataFrame, lookup: DataFrame, key: str = "product_id"
 def remap_class(df: DataFrame, mapping: DataFrame) -> DataFrame:
     """Replace classes found in (product_class, product_class_fixed); others stay."""
     return (
-        df.join(mapping, "product_class", "left")
+        df.join(small_side(mapping), "product_class", "left")
         .withColumn("product_class", F.coalesce("product_class_fixed", "product_class"))
         .select(*df.columns)
     )
@@ -227,11 +235,12 @@ def null_audit(df: DataFrame) -> DataFrame:
     return counted.unpivot([], df.columns, "column_name", "nulls")
 
 
-def predict_class(df: DataFrame, trees: int = 100, seed: int = 42, features: int = 1024, depth: int = 5) -> DataFrame:
+def predict_class(df: DataFrame, trees: int = 100, seed: int = 42, features: int = 2**12, depth: int = 20) -> DataFrame:
     """Fill null classes with a random forest trained on the rows that have one.
 
-    Texts become hashed, frequency-weighted words. Nothing is trained when no class is
-    missing.
+    Texts become frequency-weighted words, hashed to ``features`` places; a tree may grow to
+    ``depth`` levels, more than enough for a thousand classes. Both bound the model the driver
+    holds, not the rows. Nothing is trained when no class is missing.
     """
     if df.filter(F.col("product_class").isNull()).isEmpty():
         return df
@@ -264,16 +273,22 @@ def predict_class(df: DataFrame, trees: int = 100, seed: int = 42, features: int
 # ---------------------------------------------------------------- sampling and ids
 
 
+SLICE_ROWS = 5000
+
+
 def sample_n_sorted(df: DataFrame, n: int = 10000, seed: int = 42, key: str = "product_id") -> DataFrame:
     """Exactly min(n, rows) rows, chosen by a hash of seed and key, sorted by key.
 
-    Hash prefixes split the rows into even slices. Whole slices are taken or left by
-    their counts; rows are only ordered inside the slice where the cut falls.
+    Hash prefixes split the rows into even slices of a few thousand rows. Whole slices are
+    taken or left by their counts; rows are only ordered inside the slice where the cut falls.
     """
+    rows, digits = df.count(), 1
+    # At most a million slices, so their running total is a small window.
+    while digits < 5 and rows > SLICE_ROWS * 16**digits:
+        digits += 1
     keyed = df.withColumn("_hash", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key)))).withColumn(
-        "_slice", F.substring("_hash", 1, 3)
+        "_slice", F.substring("_hash", 1, digits)
     )
-    # At most 4096 slices, so their running total is a small window.
     running = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = (
         keyed.groupBy("_slice").agg(F.count("*").alias("_rows"))
@@ -314,7 +329,7 @@ def assign_dense_ids(df: DataFrame, order, prefix: str = "product_", column: str
     )
     number = F.col("_offset") + F.col("_place") - F.col("_first") + 1
     return (
-        placed.join(offsets, "_part")
+        placed.join(F.broadcast(offsets), "_part")
         .withColumn(column, F.concat(F.lit(prefix), number.cast("string")))
         .select(*[c for c in df.columns if c != column], column)
     )

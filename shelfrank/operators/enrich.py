@@ -1,11 +1,12 @@
 """Query enrichment: class descriptions and terms, response parsing, parameter extraction, acceptance."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfrank.functions.draws import pick, uniform
 from shelfrank.functions.lookup import small_side
 from shelfrank.functions.ranking import top_k
 from shelfrank.functions.text import bigrams, collapse_spaces, explode_tokens, strip, tokens
+from shelfrank.session import materialize
 
 MAX_DESCRIPTIONS = 10
 MIN_RESULTS = 15
@@ -52,7 +53,7 @@ def class_descriptions(grouped: DataFrame, hits: DataFrame, products: DataFrame,
     return top_k(distinct, ["product_class"], order, k).select("product_class", "position", "product_description")
 
 
-def mine_class_terms(texts: DataFrame, vocabulary: DataFrame, k: int = MAX_TERMS, min_count: int = 2, min_length: int = 3) -> DataFrame:
+def mine_class_terms(texts: DataFrame, vocabulary: DataFrame, k: int = MAX_TERMS, min_count: int = 2, min_length: int = 1) -> DataFrame:
     """Up to k one- or two-word phrases that are common in a class and rare elsewhere.
 
     ``texts`` has (product_class, text); phrases in ``vocabulary`` (value) are left out.
@@ -69,12 +70,12 @@ def mine_class_terms(texts: DataFrame, vocabulary: DataFrame, k: int = MAX_TERMS
         .groupBy("product_class", "term")
         .agg(F.count("*").alias("df"))
     )
-    overall = per_class.groupBy("term").agg(F.sum("df").alias("df_all"))
     total = texts.agg(F.count("*")).scalar()
+    # A term has one row per class here, so the window holds no more rows than there are classes.
     scored = (
-        per_class.filter(F.col("df") >= min_count)
+        per_class.withColumn("df_all", F.sum("df").over(Window.partitionBy("term")))
+        .filter(F.col("df") >= min_count)
         .join(vocabulary.select(F.lower("value").alias("term")), "term", "left_anti")
-        .join(overall, "term")
         .withColumn("score", F.round(F.col("df") * F.log(total / F.col("df_all")), 9))
     )
     return top_k(scored, ["product_class"], [F.desc("score"), "term"], k).select("product_class", "position", "term", "df", "score")
@@ -138,7 +139,6 @@ def split_responses(parsed: DataFrame):
 
 # ---------------------------------------------------------------- parameters from text
 
-MAX_PHRASE_WORDS = 4
 PRICE_PATTERN = r"under \$?(\d+(?:\.\d+)?)"
 STARS_PATTERN = r"more than (\d+(?:\.\d+)?) stars"
 RATINGS_PATTERN = r"more than (\d+(?:\.\d+)?) ratings"
@@ -159,14 +159,16 @@ def _number(text, pattern):
 def extract_params(queries: DataFrame, vocabulary: DataFrame, text: str = "query_text") -> DataFrame:
     """Parameters read from the query text: (query_id, lists, class, bounds, description).
 
-    Word runs of up to four words meet the vocabulary by equality. A value right after
-    "not" is negated, the longest class named wins, bounds come from the fixed phrases.
+    Word runs as long as the vocabulary's longest value meet it by equality. A value right
+    after "not" is negated, the longest class named wins, bounds come from the fixed phrases.
     """
+    phrases = materialize(vocabulary.select("category", "value", F.array_join(tokens(F.col("value")), " ").alias("phrase")).filter("phrase != ''"))
+    longest = phrases.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
     lowered = queries.select("query_id", F.lower(text).alias("t"), F.col(text).alias("raw"))
     words = lowered.withColumn("words", tokens(F.col("t")))
     runs = F.flatten(
         F.transform(
-            F.sequence(F.lit(1), F.lit(MAX_PHRASE_WORDS)),
+            F.sequence(F.lit(1), F.lit(longest)),
             lambda n: F.transform(
                 F.filter(F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1))), lambda i: i + n - 1 <= F.size("words")),
                 lambda i: F.struct(
@@ -176,7 +178,6 @@ def extract_params(queries: DataFrame, vocabulary: DataFrame, text: str = "query
             ),
         )
     )
-    phrases = vocabulary.select("category", "value", F.array_join(tokens(F.col("value")), " ").alias("phrase")).filter("phrase != ''")
     found = words.select("query_id", F.explode(runs).alias("r")).select("query_id", "r.*").join(small_side(phrases), "phrase")
     # A query is short, so the lists per query are too.
     def listed(category, negated):

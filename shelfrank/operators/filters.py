@@ -10,6 +10,8 @@ LIST_PARAMS = LIST_ATTRIBUTES + tuple(f"{a}_negated" for a in LIST_ATTRIBUTES)
 # (product column, parameter, True when the product value must not exceed the parameter)
 RANGES = (("price", "price_max", True), ("average_rating", "rating_min", False), ("rating_count", "rating_count_min", False))
 RANGE_PARAMS = tuple(r[1] for r in RANGES)
+# Keys the products are dealt over for queries without a wanted attribute.
+SPREAD = 64
 ABSENT_RULES = ("positive", "truthy", "null_only")
 
 
@@ -74,12 +76,13 @@ def param_filter(products: DataFrame, queries: DataFrame, absent: str = "positiv
 
     Products meet queries by an equi-join on one attribute value the query asks for;
     the other conditions ride on that join, so only matching pairs leave it. Queries
-    that ask for no attribute meet all products under a common key. A query table of
+    that ask for no attribute have all products to look at: products are dealt over
+    ``SPREAD`` keys by their id, and such a query stands under each of them. A query table of
     checked size goes to the products, which then are not shuffled; with a larger one
     the join shuffles on the value and the optimizer splits the frequent ones.
     """
     q = prepare_params(queries, absent)
-    anchors = F.array(F.lit("any"))
+    anchors = F.array(*[F.lit(f"any#{i}") for i in range(SPREAD)])
     for attribute in reversed(LIST_ATTRIBUTES):
         anchors = F.when(F.col(attribute).isNotNull(), _tagged(F.col(attribute), attribute)).otherwise(anchors)
     params = [*LIST_PARAMS, *RANGE_PARAMS, "product_class"]
@@ -87,7 +90,7 @@ def param_filter(products: DataFrame, queries: DataFrame, absent: str = "positiv
         q.withColumn("anchors", anchors)
         .select("query_id", F.struct(*params, "anchors").alias("q"), F.explode("anchors").alias("anchor"))
     )
-    tags = F.concat(*[_tagged(F.col(a), a) for a in LIST_ATTRIBUTES], F.array(F.lit("any")))
+    tags = F.concat(*[_tagged(F.col(a), a) for a in LIST_ATTRIBUTES], F.array(F.concat(F.lit("any#"), F.pmod(F.xxhash64("product_id"), F.lit(SPREAD)))))
     right = (
         products.withColumn("tags", F.array_distinct(tags))
         .select("product_id", F.struct(*LIST_ATTRIBUTES, *[r[0] for r in RANGES], "product_class", "tags").alias("p"), F.explode("tags").alias("anchor"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfrank.functions.lookup import as_array, as_map, fits_inline
+from shelfrank.functions.lookup import as_array, as_map, fits_inline, last_of, small_side
 
 # Fixed values of the price model.
 CONSTANT_Z = 0.4967141530112327  # first standard normal draw for seed 42
@@ -56,10 +56,12 @@ def _weight_map(weights: DataFrame, feature_type: str) -> Column:
 def add_multipliers(df: DataFrame, weights: DataFrame, thresholds: DataFrame, country_column: str | None = None, use_rating: bool = True) -> DataFrame:
     """Add material, style, country and rating multipliers.
 
-    ``weights`` has (feature_type, item, weight). The country multiplier stays 1
-    unless a country column is named.
+    ``weights`` has (feature_type, item, weight); of a repeated item the last row by ``seq``
+    counts, the largest weight without that column. ``thresholds`` is a short list of bands.
+    The country multiplier stays 1 unless a country column is named.
     """
-    if not fits_inline(weights) or not fits_inline(thresholds):
+    weights = last_of(weights, ["feature_type", "item"], "weight")
+    if not fits_inline(weights):
         return _add_multipliers_joined(df, weights, thresholds, country_column, use_rating)
     sources = {"material": "material", "style": "style"}
     if country_column:
@@ -81,13 +83,17 @@ def _add_multipliers_joined(df, weights, thresholds, country_column, use_rating,
     sources = {"material": "material", "style": "style"}
     if country_column:
         sources["countryoforigin"] = country_column
-    pairs = F.array(*[F.struct(F.lit(t).alias("feature_type"), F.col(c).alias("items")) for t, c in sources.items()])
+    # Rows that share a key may hold other lists, so key and lists together name what is regrouped.
+    ids = {f"_id{i}": c for i, c in enumerate(dict.fromkeys([key, *sources.values()]))}
+    named = {c: n for n, c in ids.items()}
+    pairs = F.array(*[F.struct(F.lit(t).alias("feature_type"), F.col(named[c]).alias("items")) for t, c in sources.items()])
     matched = (
-        df.select(key, F.explode(pairs).alias("pair"))
-        .select(key, "pair.feature_type", F.explode("pair.items").alias("value"))
-        .select(key, "feature_type", F.lower("value").alias("item"))
-        .join(weights, ["feature_type", "item"], "left")
-        .groupBy(key)
+        df.select(*[F.col(c).alias(n) for n, c in ids.items()]).distinct()
+        .select(*ids, F.explode(pairs).alias("pair"))
+        .select(*ids, "pair.feature_type", F.explode("pair.items").alias("value"))
+        .select(*ids, "feature_type", F.lower("value").alias("item"))
+        .join(last_of(weights, ["feature_type", "item"], "weight"), ["feature_type", "item"], "left")
+        .groupBy(*ids)
         .agg(*[
             F.when(F.count_if(F.col("feature_type") == t) > 0,
                    F.coalesce(F.avg(F.when(F.col("feature_type") == t, F.col("weight"))), F.lit(0.0)) + ATTRIBUTE_BONUS).alias(f"_{t}")
@@ -95,7 +101,10 @@ def _add_multipliers_joined(df, weights, thresholds, country_column, use_rating,
         ])
     )
     keep = df.columns
-    joined = df.join(matched, key, "left")
+    same = F.lit(True)
+    for n, c in ids.items():
+        same &= df[c].eqNullSafe(matched[n])
+    joined = df.join(matched, same, "left")
     joined = joined.withColumn("_thresholds", as_array(thresholds, "seq", "low", "high", "multiplier"))
     added = {f"{t if t != 'countryoforigin' else 'country'}_multiplier": F.coalesce(f"_{t}", F.lit(1.0)) for t in sources}
     added.setdefault("country_multiplier", F.lit(1.0))
@@ -115,7 +124,7 @@ def add_prices(
 ) -> DataFrame:
     """Price every row whose class has a range (product_class, price_min, price_max); others get null."""
     keep = [c for c in df.columns if c != out]
-    priced = add_multipliers(df.select(*keep), weights, thresholds, country_column, use_rating).join(ranges, "product_class", "left")
+    priced = add_multipliers(df.select(*keep), weights, thresholds, country_column, use_rating).join(small_side(ranges), "product_class", "left")
     multiplier = (
         F.col("material_multiplier") * F.col("style_multiplier") * F.col("country_multiplier") * F.col("rating_multiplier")
     )
@@ -124,7 +133,7 @@ def add_prices(
 
 def pricing_counters(df: DataFrame, ranges: DataFrame) -> DataFrame:
     """Rows priced, rows without class range, priced rows with and without rating."""
-    flagged = df.join(ranges.select("product_class", F.lit(True).alias("known")), "product_class", "left")
+    flagged = df.join(small_side(ranges.select("product_class", F.lit(True).alias("known"))), "product_class", "left")
     priced = F.col("known").isNotNull()
     rated = F.col("average_rating").isNotNull()
     return flagged.agg(

@@ -114,8 +114,11 @@ def describe_numeric(df: DataFrame, columns, points=None) -> DataFrame:
     return stats.unionByName(quantiles(values, points or PERCENTILES, True).withColumnRenamed("label", "stat"))
 
 
-def histogram(df: DataFrame, column: str, bins: int = 100, below: float | None = 100) -> DataFrame:
-    """Equal-width bins between the smallest and the largest kept value: (bin from 0, low, high, n)."""
+def histogram(df: DataFrame, column: str, bins: int = 100, below: float | None = None) -> DataFrame:
+    """All ``bins`` equal-width bins between the smallest and the largest kept value: (bin from 0, low, high, n).
+
+    With ``below`` only smaller values are kept. Without any value there are no bins.
+    """
     kept = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
     if below is not None:
         kept = kept.filter(F.col("v") < below)
@@ -127,10 +130,11 @@ def histogram(df: DataFrame, column: str, bins: int = 100, below: float | None =
     low = F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo"))
     width = F.when(flat, F.lit(1.0)).otherwise(F.col("hi") - F.col("lo")) / bins
     bin_no = F.least(F.floor((F.col("v") - low) / width), F.lit(bins - 1))
+    filled = counts.select(bin_no.alias("bin"), "n").groupBy("bin").agg(F.sum("n").alias("n"))
+    every = ends.filter("lo IS NOT NULL").select(low.alias("low"), width.alias("width"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bin"))
     return (
-        counts.select(bin_no.alias("bin"), low.alias("low"), width.alias("width"), "n")
-        .groupBy("bin", "low", "width")
-        .agg(F.sum("n").alias("n"))
+        every.join(filled, "bin", "left")
+        .withColumn("n", F.coalesce("n", F.lit(0)))
         .select("bin", (F.col("low") + F.col("bin") * F.col("width")).alias("bin_low"), (F.col("low") + (F.col("bin") + 1) * F.col("width")).alias("bin_high"), "n")
     )
 

@@ -6,9 +6,6 @@ from shelfrank.operators import catalog as cat
 from shelfrank.operators.pricing import add_prices
 from shelfrank.session import materialize
 
-SAMPLE_SIZE = 10000
-
-
 def clean_products(raw: DataFrame, lookup: DataFrame, seed: int = 42, predict: bool = True) -> DataFrame:
     """Complete products with normalised attributes, filled gaps and repaired numbers.
 
@@ -25,11 +22,11 @@ def clean_products(raw: DataFrame, lookup: DataFrame, seed: int = 42, predict: b
 
 def build_catalog(
     raw: DataFrame, lookup: DataFrame, class_mapping: DataFrame, ranges: DataFrame, weights: DataFrame, thresholds: DataFrame,
-    synthetic: DataFrame | None = None, sample: int | None = SAMPLE_SIZE, seed: int = 42, predict: bool = True,
+    synthetic: DataFrame | None = None, sample: int | None = None, seed: int = 42, predict: bool = True,
 ) -> DataFrame:
     """Final catalogue: clean, sample, append synthetic rows, number, map classes, price.
 
-    ``sample=None`` keeps every product. Sampled rows come first in id order, then the
+    Every product is kept unless ``sample`` asks for that many. Sampled rows come first in id order, then the
     synthetic ones.
     """
     from pyspark.sql import functions as F

@@ -1,7 +1,5 @@
 """Session helpers shared by the entry file, the bench and the tests."""
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,17 +25,14 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back from there.
 
     The result survives lost executors and keeps its partition layout, so row
-    positions inside a partition are the same on every later read. The folder is
-    the one the session names; a local folder is only used when none is named and
-    the session runs on this machine alone.
+    positions inside a partition are the same on every later read.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="shelfrank-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data: the one the session names, else one in the warehouse, which is shared as well."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"

@@ -1,6 +1,6 @@
 """Readers with explicit schemas for the files of the pipeline."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from shelfrank.functions.text import strip
 
@@ -19,12 +19,14 @@ PARAMS_SCHEMA = (
     "rating_count_min: double, rating_count_max: double, price_min: double, price_max: double, "
     "rating_weight: double, rating_count_weight: double, price_weight: double>"
 )
+# These hold a string or a list of strings; either is read as its text.
+LIST_PARAMS = ("style", "color", "material", "style_negated", "color_negated", "material_negated")
 QUERY_SCHEMA = f"query_id string, query_type string, query_text string, query_params {PARAMS_SCHEMA}"
 EMBEDDING_SCHEMA = (
     "id string, dense_embedding array<float>, "
     "sparse_embedding struct<indices: array<int>, dimensions: array<int>, values: array<double>>, "
     "metadata struct<product_name: string, product_description: string, product_class: string, price: double, "
-    "average_rating: double, rating_count: bigint, material: array<string>, style: array<string>, color: array<string>>"
+    "average_rating: double, rating_count: double, material: array<string>, style: array<string>, color: array<string>>"
 )
 RANKING_SCHEMA = "query_id string, product_id string, rank int, query_type string"
 BROKEN = "_broken_line"
@@ -42,15 +44,25 @@ def scan_tsv(spark: SparkSession, path, schema: str = RAW_PRODUCT_SCHEMA, multil
 def scan_jsonl(spark: SparkSession, path, schema: str = PRODUCT_SCHEMA):
     """(rows, rejects) of a file with one JSON object per line; blank lines count as neither.
 
-    A rejected line comes with its text. Both tables read the file independently.
+    A rejected line comes with its text. Whole numbers may be written with a fraction, such
+    as 12.0; what is behind the point is dropped. Both tables read the file independently.
     """
+    wanted = T.StructType.fromDDL(schema)
+    whole = [f.name for f in wanted if isinstance(f.dataType, T.LongType | T.IntegerType)]
+    # Whole numbers are read as text, which keeps all digits of large ones.
+    read = T.StructType([T.StructField(f.name, T.StringType() if f.name in whole else f.dataType) for f in wanted] + [T.StructField(BROKEN, T.StringType())])
     lines = spark.read.text(path).filter(strip("value") != "")
     parsed = lines.select(
         F.col("value"),
-        F.from_json("value", f"{schema}, {BROKEN} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}).alias("row"),
+        F.from_json("value", read, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}).alias("row"),
     )
+    number = lambda c: F.col(f"row.{c}").try_cast("decimal(38,9)").try_cast("bigint")
     bad = F.col("row").isNull() | F.col(f"row.{BROKEN}").isNotNull()
-    return parsed.filter(~bad).select("row.*").drop(BROKEN), parsed.filter(bad).select(F.col("value").alias("line"))
+    for c in whole:
+        bad = bad | (F.col(f"row.{c}").isNotNull() & number(c).isNull())
+    bad = F.coalesce(bad, F.lit(True))
+    columns = [(number(f.name).try_cast(f.dataType) if f.name in whole else F.col(f"row.{f.name}")).alias(f.name) for f in wanted]
+    return parsed.filter(~bad).select(*columns), parsed.filter(bad).select(F.col("value").alias("line"))
 
 
 def scan_json_array(spark: SparkSession, path, schema: str = QUERY_SCHEMA) -> DataFrame:
@@ -59,9 +71,10 @@ def scan_json_array(spark: SparkSession, path, schema: str = QUERY_SCHEMA) -> Da
 
 
 def flatten_params(queries: DataFrame, column: str = "query_params") -> DataFrame:
-    """Query parameters as columns next to the query's own."""
+    """Query parameters as columns next to the query's own; the six attribute parameters as lists, also where one string was given."""
     own = [c for c in queries.columns if c != column]
-    return queries.select(*own, f"{column}.*")
+    flat = queries.select(*own, f"{column}.*")
+    return flat.withColumns({c: string_or_list(F.col(c)) for c in LIST_PARAMS if c in flat.columns})
 
 
 def scan_result_map(spark: SparkSession, path) -> DataFrame:
@@ -91,7 +104,7 @@ def _numbered_lines(spark, path):
 def string_or_list(value):
     """A JSON text that is a string or a list of strings, as a list."""
     listed = F.from_json(value, "array<string>")
-    return F.when(F.startswith(F.ltrim(value), F.lit("[")), listed).otherwise(F.array(value))
+    return F.when(value.isNull(), F.lit(None)).when(F.startswith(F.ltrim(value), F.lit("[")), listed).otherwise(F.array(value))
 
 
 def scan_lookup_map(spark: SparkSession, path, category: str | None = None) -> DataFrame:
@@ -144,14 +157,15 @@ def scan_feature_weights(spark: SparkSession, path):
     return weights, thresholds
 
 
-def scan_embeddings(spark: SparkSession, path) -> DataFrame:
-    """(product_id, vector, sparse, metadata) from lines with either sparse layout; broken lines are skipped."""
-    rows, _rejects = scan_jsonl(spark, path, EMBEDDING_SCHEMA)
+def scan_embeddings(spark: SparkSession, path):
+    """(rows, rejects): (product_id, vector, sparse, metadata) from lines with either sparse layout, and the lines that can't be read."""
+    rows, rejects = scan_jsonl(spark, path, EMBEDDING_SCHEMA)
     sparse = F.struct(
         F.coalesce("sparse_embedding.indices", "sparse_embedding.dimensions").alias("indices"),
         F.col("sparse_embedding.values").alias("values"),
     )
-    return rows.select(F.col("id").alias("product_id"), F.col("dense_embedding").alias("vector"), sparse.alias("sparse"), "metadata")
+    counted = F.col("metadata").withField("rating_count", F.col("metadata.rating_count").cast("bigint"))
+    return rows.select(F.col("id").alias("product_id"), F.col("dense_embedding").alias("vector"), sparse.alias("sparse"), counted.alias("metadata")), rejects
 
 
 def scan_rankings(spark: SparkSession, path) -> DataFrame:

@@ -58,6 +58,23 @@ def test_normalize_methods_agree(spark):
         assert rows(cat.normalize_values(df, lookup, {"color": "color"}, method=method), "product_id", "color") == expected
 
 
+def test_normalize_with_repeated_keys_and_ids(spark):
+    """The last row of a repeated raw value counts, and rows that share an id keep their own values, both ways."""
+    lookup = spark.createDataFrame([("color", "a", ["x"], 1), ("color", "a", ["y", "z"], 2), ("color", "b", ["x"], 3)], "category string, raw string, normalized array<string>, seq int")
+    df = spark.createDataFrame([("1", ["A", "b"]), ("1", ["b"]), (None, ["a"]), ("1", ["b"]), ("2", [None, "a"])], "product_id string, color array<string>")
+    expected = sorted([("1", ["y", "z", "x"]), ("1", ["x"]), (None, ["y", "z"]), ("1", ["x"]), ("2", ["y", "z"])], key=str)
+    for method in ("inline", "join"):
+        got = cat.normalize_values(df, lookup, {"color": "color"}, method=method).collect()
+        assert sorted(((r.product_id, r.color) for r in got), key=str) == expected
+
+
+def test_sample_is_the_smallest_hashes_at_any_size(spark, monkeypatch):
+    df = spark.range(3000).select(F.col("id").cast("string").alias("product_id"))
+    want = rows(cat.sample_n_sorted(df, 70), "product_id")
+    monkeypatch.setattr(cat, "SLICE_ROWS", 1)
+    assert len(want) == 70 and rows(cat.sample_n_sorted(df, 70), "product_id") == want
+
+
 def test_fill_description_is_null_when_name_or_class_is(spark):
     schema = "product_id string, product_name string, product_class string, product_description string, color array<string>, style array<string>, material array<string>, countryoforigin array<string>"
     df = spark.createDataFrame(

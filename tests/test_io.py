@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from shelfrank.operators import filters
 from shelfrank.sources import readers as rd, writers as wr
 
 
@@ -17,6 +18,24 @@ def test_jsonl_rows_and_rejects(spark, tmp_path):
     assert [r.line for r in bad.collect()] == ["{broken"]
 
 
+def test_whole_numbers_with_a_fraction(spark, tmp_path):
+    path = write(tmp_path / "p.jsonl", '{"product_id": "a", "rating_count": 12.0}', '{"product_id": "b", "rating_count": 9007199254740993}', '{"product_id": "c", "rating_count": "many"}', '{"product_id": "d", "rating_count": null}')
+    good, bad = rd.scan_jsonl(spark, path)
+    assert {r.product_id: r.rating_count for r in good.collect()} == {"a": 12, "b": 9007199254740993, "d": None}
+    assert dict(good.dtypes)["rating_count"] == "bigint" and [r.line for r in bad.collect()] == ['{"product_id": "c", "rating_count": "many"}']
+
+
+def test_list_parameters_reach_the_filter(spark, tmp_path):
+    q = tmp_path / "q.json"
+    q.write_text(json.dumps([{"query_id": "a", "query_params": {"color": ["red", "blue"]}}, {"query_id": "b", "query_params": {"color": "red", "style_negated": []}}, {"query_id": "c", "query_params": {"color": None, "price_max": 1}}]))
+    flat = rd.flatten_params(rd.scan_json_array(spark, str(q)))
+    assert {r.query_id: (r.color, r.style_negated) for r in flat.collect()} == {"a": (["red", "blue"], None), "b": (["red"], []), "c": (None, None)}
+    products = spark.createDataFrame([("r", ["red"]), ("b", ["blue"]), ("g", ["green"])], "product_id string, color array<string>").withColumns(
+        {"material": F.array(F.lit("m")), "style": F.array(F.lit("s")), "product_class": F.lit("K"), "price": F.lit(5.0), "average_rating": F.lit(4.0), "rating_count": F.lit(1)})
+    got = sorted((r.query_id, r.product_id) for r in filters.param_filter(products, flat).collect())
+    assert got == [("a", "b"), ("a", "r"), ("b", "r")]
+
+
 def test_tsv(spark, tmp_path):
     path = write(tmp_path / "p.csv", "product_id\tproduct_name\tproduct_class\tproduct_description\tproduct_features\trating_count\taverage_rating\treview_count", '1\ta "b"\t\td\tk : v|c:d\t10.0\t4.5\t')
     r = rd.scan_tsv(spark, path).first()
@@ -59,7 +78,9 @@ def test_embeddings_both_layouts_sorted(spark, tmp_path):
         '{"id": "product_9", "dense_embedding": [1, 2], "sparse_embedding": {"dimensions": [4], "values": [0.25]}, "metadata": {}}',
         '{"id": "x"', '{"id": "odd", "dense_embedding": [], "sparse_embedding": {"indices": [], "values": []}, "metadata": {}}',
     ]
-    got = {r.product_id: r for r in rd.scan_embeddings(spark, write(tmp_path / "e.jsonl", *lines)).collect()}
+    good, bad = rd.scan_embeddings(spark, write(tmp_path / "e.jsonl", *lines))
+    got = {r.product_id: r for r in good.collect()}
+    assert [r.line for r in bad.collect()] == ['{"id": "x"']
     assert got["product_10"].sparse.indices == [3] and got["product_9"].sparse.indices == [4] and len(got) == 3
     stored = spark.createDataFrame([("odd",), ("product_10",), ("product_9",)], "id string")
     wr.write_embeddings(stored, str(tmp_path / "out"))

@@ -96,6 +96,14 @@ def test_param_responses(spark):
     assert good.count() == 4 and bad.count() == 4
 
 
+def test_extract_params_of_any_length(spark):
+    vocab = spark.createDataFrame([("product_class", "Outdoor Patio Chair Seat Cushions"), ("color", "red"), ("product_class", "Cushions")], "category string, value string")
+    q = spark.createDataFrame([("1", "red outdoor patio chair seat cushions")], "query_id string, query_text string")
+    r = en.extract_params(q, vocab).first()
+    assert r.product_class == "Outdoor Patio Chair Seat Cushions" and r.color == ["red"]
+    assert en.extract_params(q, vocab.filter("false")).first().product_class is None
+
+
 def test_extract_params(spark):
     vocab = spark.createDataFrame(
         [("color", "white"), ("material", "wool"), ("material", "solid wood"), ("style", "rustic"), ("product_class", "Ottomans"), ("product_class", "Storage Ottomans")],
