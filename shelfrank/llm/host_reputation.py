@@ -10,7 +10,7 @@ a few bad pages do not block a host, and many do. Rules on host and path come fi
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfrank.llm.common import pick
+from shelfrank.llm.common import pick, stored
 
 # Suffixes of two labels; all others have one.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "org.au", "org.uk")
@@ -79,7 +79,8 @@ def host_posteriors(pages: DataFrame) -> DataFrame:
     """(name, n, good, mean, weight) of each host of ``pages`` (name, domain, suffix, outcome): the posterior's mean and the pages it is worth."""
     sums = lambda df, *keys: df.groupBy(*keys).agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
     outcome = F.col("outcome")
-    hosts = pages.groupBy("name", "domain", "suffix").agg(F.coalesce(F.sum(outcome), F.lit(0)).alias("good"), F.count(outcome).alias("n"))
+    # Read for every level and weight, so it is written once: a row per host.
+    hosts = stored(pages.groupBy("name", "domain", "suffix").agg(F.coalesce(F.sum(outcome), F.lit(0)).alias("good"), F.count(outcome).alias("n")))
     domains, suffixes = sums(hosts, "domain", "suffix"), sums(hosts, "suffix")
     whole = hosts.agg(((F.coalesce(F.sum("good"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("mean")).select("mean").scalar()
     shrunk = lambda prior, weight: (F.col("good") + weight * prior) / (F.col("n") + weight)
