@@ -49,6 +49,9 @@ def _(spark, sf):
     queries, hits = bm.build_query_set(products, targets={"simple": 4, "negation": 4, "number": 4, "complex": 4}, attempts=2)
     queries, hits = bm.enrich_query_set(queries, hits, products, bm.mined_features(queries, hits, products))
     truth = bm.build_ground_truth(queries, hits, products)
+    synthetic = table(spark, sf, "benchmark").select(F.concat(F.lit("synth-"), F.col("item_id")).alias("query_id"), F.lit("synth").alias("query_type"), F.col("text").alias("query_text"))
+    lists = products.groupBy((F.col("p_partkey") % 40).alias("k")).agg(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda p: F.concat(F.lit("product_"), p)).alias("product_ids"))
+    queries, truth = bm.add_synthetic(queries, truth, synthetic, lists.select(F.concat(F.lit("synth-"), "k").alias("query_id"), "product_ids"))
     plain = result_lists(queries, fielded_search(products, queries, 10, "query_text", filtered=False))
     filtered = result_lists(queries, fielded_search(products, queries, 10, "query_text"))
     report, _by_query = bm.evaluate_systems({"plain-text": plain, "with-filters": filtered}, truth)

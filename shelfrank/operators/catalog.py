@@ -235,11 +235,11 @@ def null_audit(df: DataFrame) -> DataFrame:
     return counted.unpivot([], df.columns, "column_name", "nulls")
 
 
-def predict_class(df: DataFrame, trees: int = 100, seed: int = 42, features: int = 2**12, depth: int = 20) -> DataFrame:
+def predict_class(df: DataFrame, trees: int = 100, seed: int = 42, features: int = 2**12, depth: int = 10) -> DataFrame:
     """Fill null classes with a random forest trained on the rows that have one.
 
     Texts become frequency-weighted words, hashed to ``features`` places; a tree may grow to
-    ``depth`` levels, more than enough for a thousand classes. Both bound the model the driver
+    ``depth`` levels, so to a thousand leaves. Both bound the model the driver
     holds, not the rows. Nothing is trained when no class is missing.
     """
     if df.filter(F.col("product_class").isNull()).isEmpty():

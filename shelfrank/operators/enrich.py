@@ -233,9 +233,10 @@ def enrich_queries(queries: DataFrame, features: DataFrame, seed: int = 42) -> D
 def accept_enriched(originals: DataFrame, enriched: DataFrame, hits: DataFrame, min_results: int = MIN_RESULTS):
     """Enriched queries with enough hits, the others back to their original text with no results.
 
-    Returns the queries and the hits that stay.
+    Returns the queries and the hits that stay. The list of queries with enough hits is
+    written once, so the search behind ``hits`` runs for it and for the hits alone.
     """
-    enough = hits.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min_results).select("query_id")
+    enough = materialize(hits.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min_results).select("query_id"))
     new = enriched.join(enough, "query_id", "left_semi").withColumn("accepted", F.lit(True))
     waiting = enriched.select("query_id").join(enough, "query_id", "left_anti")
     old = originals.join(waiting, "query_id", "left_semi").withColumn("accepted", F.lit(False))

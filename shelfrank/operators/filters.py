@@ -82,20 +82,21 @@ def param_filter(products: DataFrame, queries: DataFrame, absent: str = "positiv
     the join shuffles on the value and the optimizer splits the frequent ones.
     """
     q = prepare_params(queries, absent)
-    anchors = F.array(*[F.lit(f"any#{i}") for i in range(SPREAD)])
+    wanted = F.lit(None).cast("array<string>")
     for attribute in reversed(LIST_ATTRIBUTES):
-        anchors = F.when(F.col(attribute).isNotNull(), _tagged(F.col(attribute), attribute)).otherwise(anchors)
+        wanted = F.when(F.col(attribute).isNotNull(), _tagged(F.col(attribute), attribute)).otherwise(wanted)
+    spread = F.array(*[F.lit(f"any#{i}") for i in range(SPREAD)])
     params = [*LIST_PARAMS, *RANGE_PARAMS, "product_class"]
     left = (
-        q.withColumn("anchors", anchors)
-        .select("query_id", F.struct(*params, "anchors").alias("q"), F.explode("anchors").alias("anchor"))
+        q.withColumn("wanted", wanted)
+        .select("query_id", F.struct(*params, "wanted").alias("q"), F.explode(F.coalesce("wanted", spread)).alias("anchor"))
     )
-    tags = F.concat(*[_tagged(F.col(a), a) for a in LIST_ATTRIBUTES], F.array(F.concat(F.lit("any#"), F.pmod(F.xxhash64("product_id"), F.lit(SPREAD)))))
+    own = F.concat(F.lit("any#"), F.pmod(F.xxhash64("product_id"), F.lit(SPREAD)))
     right = (
-        products.withColumn("tags", F.array_distinct(tags))
-        .select("product_id", F.struct(*LIST_ATTRIBUTES, *[r[0] for r in RANGES], "product_class", "tags").alias("p"), F.explode("tags").alias("anchor"))
+        products.withColumn("tags", F.array_distinct(F.concat(*[_tagged(F.col(a), a) for a in LIST_ATTRIBUTES])))
+        .select("product_id", F.struct(*LIST_ATTRIBUTES, *[r[0] for r in RANGES], "product_class", "tags").alias("p"), F.explode(F.array_append("tags", own)).alias("anchor"))
     )
     # A product may hold several of the wanted values: only the first of them counts.
-    first = (F.size("q.anchors") == 1) | (F.get(F.array_intersect(F.col("q.anchors"), F.col("p.tags")), F.lit(0)) == F.col("anchor"))
+    first = F.col("q.wanted").isNull() | (F.size("q.wanted") == 1) | (F.get(F.array_intersect(F.col("q.wanted"), F.col("p.tags")), F.lit(0)) == F.col("anchor"))
     matches = match_condition(lambda n: F.col(f"p.{n}"), lambda n: F.col(f"q.{n}"), class_text)
     return right.join(small_side(left), "anchor").filter(matches & first).select("query_id", "product_id")

@@ -40,7 +40,7 @@ NUMBER_PARAMS = ("rating_min", "rating_count_min", "price_max", "rating_weight",
 def top_classes(df: DataFrame, k: int = N_CLASSES) -> DataFrame:
     """Rows of the k most frequent classes."""
     kept = most_common(value_counts(df, "product_class"), k).select(F.col("value").alias("product_class"))
-    return df.join(F.broadcast(kept), "product_class", "left_semi") if k <= 10_000 else df.join(kept, "product_class", "left_semi")
+    return df.join(small_side(kept), "product_class", "left_semi")
 
 
 def class_stats(df: DataFrame) -> DataFrame:

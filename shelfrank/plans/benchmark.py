@@ -42,6 +42,17 @@ def enrich_query_set(queries: DataFrame, hits: DataFrame, products: DataFrame, f
     return en.accept_enriched(asked, enriched, materialize(search(enriched)), min_results)
 
 
+def response_features(responses: DataFrame) -> DataFrame:
+    """Feature lists per class from model answers (product_class, response_text), all six types."""
+    return en.parse_feature_response(responses).select("product_class", *en.FEATURE_TYPES)
+
+
+def add_synthetic(queries: DataFrame, truth: DataFrame, synthetic: DataFrame, synthetic_lists: DataFrame):
+    """(queries, truth) with the hand-made queries and their given result lists after the others; those without a list stay out."""
+    given = qs.join_synthetic(synthetic, synthetic_lists)
+    return en.append_synth(queries, given.drop("product_ids")), truth.unionByName(given.select("query_id", "product_ids"))
+
+
 def mined_features(queries: DataFrame, hits: DataFrame, products: DataFrame) -> DataFrame:
     """Feature lists per class from the descriptions its queries found: one list of mined phrases, five empty ones."""
     texts = en.class_descriptions(en.group_by_class(queries, hits), hits, products).withColumnRenamed("product_description", "text")

@@ -184,3 +184,23 @@ def test_drawn_stats_stay_inside(spark, stat, lo, hi):
     assert lo <= r[0] and r[1] <= hi
     # Beta(1,3) has mean 1/4, Beta(3,1) mean 3/4
     assert (r[2] - lo) / (hi - lo) == pytest.approx(0.75 if stat == "price" else 0.25, abs=0.03)
+
+
+def test_synthetic_queries_follow_with_their_lists(spark):
+    from shelfrank.plans import benchmark as bm
+
+    queries = spark.createDataFrame([("simple-001", "simple", "a", "K")], "query_id string, query_type string, query_text string, product_class string")
+    truth = spark.createDataFrame([("simple-001", ["p1"])], "query_id string, product_ids array<string>")
+    synthetic = spark.createDataFrame([("synth-001", "synth", "b"), ("synth-002", "synth", "c")], "query_id string, query_type string, query_text string")
+    lists = spark.createDataFrame([("synth-001", ["p2", "p3"])], "query_id string, product_ids array<string>")
+    all_queries, all_truth = bm.add_synthetic(queries, truth, synthetic, lists)
+    assert [(r.query_id, r.product_class) for r in all_queries.orderBy("query_id").collect()] == [("simple-001", "K"), ("synth-001", None)]
+    assert {r.query_id: r.product_ids for r in all_truth.collect()} == {"simple-001": ["p1"], "synth-001": ["p2", "p3"]}
+
+
+def test_features_from_responses_keep_their_types(spark):
+    from shelfrank.plans import benchmark as bm
+
+    answers = spark.createDataFrame([("Chairs", '{"USAGE_CONTEXTS": ["office"]}')], "product_class string, response_text string")
+    q = spark.createDataFrame([("simple-001", "simple", "red chair", "Chairs", "red chair")], "query_id string, query_type string, query_text string, product_class string, product_description string")
+    assert en.enrich_queries(q, bm.response_features(answers)).first().query_text == "red chair, for office"
