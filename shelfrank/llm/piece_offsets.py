@@ -198,10 +198,6 @@ class Model:
         source = np.concatenate([np.zeros(head, np.int64), np.repeat(np.arange(len(raw)), wide), [len(raw)]])
         return (space if self.prefix else b"") + raw.replace(b" ", space), source
 
-    def parts(self, text: str) -> list[str]:
-        """The normalised text cut where no merge can cross; whole where merges might."""
-        return re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", text) if self.by_parts else [text] if text else []
-
     def parts(self, text: str, size: int = BLOCK):
         """The normalised text in parts of about ``size`` characters, cut where no merge can cross; whole where merges might."""
         at = 0
