@@ -2,11 +2,12 @@
 
 A fingerprint has eight bytes. Two fingerprints with at most three differing bits differ
 in at most three bytes, so at least five positional bytes are shared: the guaranteed
-minimum. Among any five of the eight positions, three lie in the same half, so the pair
-meets in at least one of the eight postings whose key is three positional bytes of one
-half. Postings of single bytes hold one row in 256 each, and their pairs grow with the
-square of the table; those of three bytes hold one row in 16 million and lose nothing.
-Where two fingerprints meet, their shared positional bytes are tallied, pairs below the
+minimum. Postings of single bytes hold one row in 256 each, and their pairs grow with the
+square of the table, so a posting's key is four positional bytes, one row in four billion.
+Fourteen sets of four positions suffice: those whose numbers, 0 to 7, cancel under
+exclusive or. Each three positions stand in exactly one such set, and the rest of a set is one
+as well, so outside the at most three positions that differ a whole set remains, and
+nothing is lost. Where two fingerprints meet, their shared positional bytes are tallied, pairs below the
 minimum go, and the others are verified by counting differing bits.
 
 Copies share a fingerprint and enter the index once, whatever their number.
@@ -23,8 +24,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelfrank.llm.common import components, pick, ship, stored, utf8
 
 BITS, POSITIONS, SEED = 64, 8, 42
-# Any five positions hold three of one half.
-TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
+# Any five of the eight positions hold one of these fourteen sets.
+QUADS = [q for q in combinations(range(POSITIONS), 4) if q[0] ^ q[1] ^ q[2] ^ q[3] == 0]
 
 
 def simhash(raw: bytes, size: int) -> int:
@@ -74,22 +75,22 @@ def links(distinct: DataFrame, most: int = 3) -> DataFrame:
     ``distinct`` has one row per ``fingerprint``. A pair is reported by the first posting both are in.
     """
     if not 0 <= most <= 3:
-        raise ValueError("three positional bytes are only guaranteed for up to 3 differing bits")
+        raise ValueError("four positional bytes of one set are only guaranteed for up to 3 differing bits")
     keys = [
-        reduce(lambda key, p: F.shiftleft(key, 8).bitwiseOR(_byte(F.col("fingerprint"), p)), triple, F.lit(t).cast("bigint"))
-        for t, triple in enumerate(TRIPLES)
+        reduce(lambda key, p: F.shiftleft(key, 8).bitwiseOR(_byte(F.col("fingerprint"), p)), quad, F.lit(t).cast("bigint"))
+        for t, quad in enumerate(QUADS)
     ]
     postings = distinct.select("fingerprint", F.explode(F.array(*keys)).alias("key"))
     left = postings.select(F.col("key").alias("key_a"), F.col("fingerprint").alias("a"))
     right = postings.select(F.col("key").alias("key_b"), F.col("fingerprint").alias("b"))
     differing = F.col("a").bitwiseXOR(F.col("b"))
     tally = reduce(lambda n, p: n + F.when(_byte(differing, p) == 0, 1).otherwise(0), range(POSITIONS), F.lit(0))
-    first = F.lit(len(TRIPLES))
-    for t, triple in reversed(list(enumerate(TRIPLES))):
-        mask = sum(255 << (8 * p) for p in triple)
+    first = F.lit(len(QUADS))
+    for t, quad in reversed(list(enumerate(QUADS))):
+        mask = sum(255 << (8 * p) for p in quad)
         mask -= (mask >> 63) << 64
         first = F.when(differing.bitwiseAND(F.lit(mask).cast("bigint")) == 0, F.lit(t)).otherwise(first)
-    found_here = F.shiftright("key_a", 24) == first
+    found_here = F.shiftright("key_a", 32) == first
     met = (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b"))
     return left.join(right, met & (tally >= POSITIONS - most) & (F.bit_count(differing) <= most) & found_here).select("a", "b")
 

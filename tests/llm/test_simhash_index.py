@@ -63,8 +63,9 @@ def test_links_are_complete_for_close_fingerprints(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_every_five_positions_hold_a_triple():
-    assert all(any(set(t) <= set(five) for t in si.TRIPLES) for five in combinations(range(8), 5))
+def test_every_five_positions_hold_a_set():
+    assert len(si.QUADS) == 14
+    assert all(any(set(q) <= set(five) for q in si.QUADS) for five in combinations(range(8), 5))
     with pytest.raises(ValueError):
         si.links(None, 4)
 
