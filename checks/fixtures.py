@@ -115,54 +115,59 @@ FROM (SELECT p_type, p_name, cast(row_number() OVER (ORDER BY p_type, p_name) AS
       FROM part GROUP BY p_type, p_name) g"""
 
 
+def _ranking_lines(chosen="true"):
+    """Every order line under a query of its part; lines that are not ``chosen`` are under another one, by their return flag."""
+    return f"""
+SELECT CASE l_partkey % 5 WHEN 0 THEN 'simple' WHEN 1 THEN 'negation' WHEN 2 THEN 'number' WHEN 3 THEN 'complex' ELSE 'synth' END
+  || '-' || cast(l_partkey AS string) || CASE WHEN {chosen} THEN '' ELSE '-' || l_returnflag END AS query_id,
+  l_partkey, l_suppkey, l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_shipdate
+FROM lineitem"""
+
+
 def truth_rankings(d):
-    """R, truth: returned lines with a high discount, best quantity first; suppliers repeat, some queries have none."""
+    """R, truth: all lines, best quantity first; suppliers repeat. Returned lines with a high discount are the part's plain query, which some parts lack."""
     return """
 SELECT query_id, 'supp_' || cast(l_suppkey AS string) AS product_id,
   cast(row_number() OVER (PARTITION BY query_id ORDER BY l_quantity DESC, l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS int) AS rank
-FROM (""" + _ranking_lines() + """) x WHERE l_returnflag = 'R' AND l_discount >= 0.08"""
-
-
-def _ranking_lines():
-    return """
-SELECT CASE l_partkey % 5 WHEN 0 THEN 'simple' WHEN 1 THEN 'negation' WHEN 2 THEN 'number' WHEN 3 THEN 'complex' ELSE 'synth' END
-  || '-' || cast(l_partkey AS string) AS query_id, l_partkey, l_suppkey, l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_shipdate
-FROM lineitem"""
+FROM (""" + _ranking_lines("l_returnflag = 'R' AND l_discount >= 0.08") + """) x"""
 
 
 def system_rankings(d):
     """R, predictions: one result table per system, each with another order of a query's suppliers.
 
-    One system only ranks lines it scores high, so it has no answer to some queries. Ranks
-    follow the score directly: they have gaps and ties.
+    Some queries have no truth and some no prediction. Ranks follow the score directly: they
+    have gaps and ties.
     """
-    keys = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "CASE WHEN l_discount >= 0.1 THEN l_tax END", "-l_quantity", "-l_extendedprice", "-l_discount", "-l_tax", "l_quantity * l_tax"]
-    return " UNION ALL ".join(
-        f"""SELECT '{system}' AS system, query_id, 'supp_' || cast(l_suppkey AS string) AS product_id,
-  cast(100000000 - round(({key}) * 100) AS int) AS rank,
+    keys = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_discount * l_tax", "-l_quantity", "-l_extendedprice", "-l_discount", "-l_tax", "l_quantity * l_tax"]
+    if d == "spark":
+        scores = "explode(array(" + ", ".join(f"named_struct('system', '{s}', 'score', cast({k} AS double))" for s, k in zip(SYSTEMS, keys)) + "))"
+    else:
+        scores = "unnest([" + ", ".join(f"{{'system': '{s}', 'score': cast({k} AS double)}}" for s, k in zip(SYSTEMS, keys)) + "])"
+    return f"""
+SELECT one.system AS system, query_id, 'supp_' || cast(l_suppkey AS string) AS product_id,
+  cast(100000000 - round(one.score * 100) AS int) AS rank,
   CASE WHEN l_partkey % 6 = 1 THEN NULL WHEN l_linenumber = 7 THEN 'mixed' ELSE split_part(query_id, '-', 1) END AS query_type
-FROM ({_ranking_lines()} WHERE l_returnflag <> 'A') y WHERE ({key}) IS NOT NULL"""
-        for system, key in zip(SYSTEMS, keys)
-    )
+FROM (SELECT *, {scores} AS one FROM ({_ranking_lines("l_returnflag <> 'A'")}) x) y"""
 
 
 def one_system(d):
-    """R, predictions of one system by price among well discounted lines."""
+    """R, predictions of one system by price, over all lines; well discounted ones are the part's plain query."""
+    lines = _ranking_lines("l_returnflag <> 'A' AND l_discount >= 0.07")
     return f"""
 SELECT query_id, 'supp_' || cast(l_suppkey AS string) AS product_id,
   cast(row_number() OVER (PARTITION BY query_id ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_suppkey) AS int) AS rank,
   CASE WHEN l_partkey % 6 = 1 THEN NULL WHEN l_linenumber = 7 THEN 'mixed' ELSE split_part(query_id, '-', 1) END AS query_type
-FROM ({_ranking_lines()} WHERE l_returnflag <> 'A' AND l_discount >= 0.07) x"""
+FROM ({lines}) x"""
 
 
 def result_map(d):
-    """R, one result list per query with at most 20 entries; every query keeps a row, some lists are empty."""
+    """R, one result list per query, over all lines; every query of the truth keeps a row, some lists are empty."""
     collect = "transform(array_sort(collect_list(struct(rank, product_id))), x -> x.product_id)" if d == "spark" else "list(product_id ORDER BY rank)"
     empty = _empty(d)
     return f"""
 SELECT q.query_id, coalesce(r.product_ids, {empty}) AS product_ids
-FROM (SELECT DISTINCT query_id FROM ({_ranking_lines()}) z) q
-LEFT JOIN (SELECT query_id, {collect} AS product_ids FROM ({one_system(d)}) o WHERE rank <= 20 GROUP BY query_id) r ON r.query_id = q.query_id"""
+FROM (SELECT query_id FROM ({truth_rankings(d)}) z UNION SELECT query_id FROM ({one_system(d)}) o) q
+LEFT JOIN (SELECT query_id, {collect} AS product_ids FROM ({one_system(d)}) o GROUP BY query_id) r ON r.query_id = q.query_id"""
 
 
 def responses(d):

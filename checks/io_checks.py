@@ -176,7 +176,7 @@ def _(spark, sf):
 @check("write_result_map", f"WITH {duck('result_map')} SELECT query_id, array_to_string(product_ids, '|') AS product_ids FROM result_map")
 def _(spark, sf):
     path = folder(spark)
-    hits = view(spark, sf, "one_system").filter("rank <= 20")
+    hits = view(spark, sf, "one_system")
     queries = view(spark, sf, "result_map").select("query_id")
     wr.write_result_map(queries, hits, path, "rank")
     return rd.scan_result_rows(spark, path).select("query_id", *joined("product_ids"))
