@@ -180,6 +180,33 @@ def _(spark, sf):
     return vec.dense_topk(docs, centroids(spark, sf), 20).withColumn("score", F.round("score", 6))
 
 
+@check("dense_topk_many", f"""WITH a AS (SELECT p_partkey AS query_id, embedding::double[] AS v FROM part JOIN embeddings ON vec_id = p_partkey % (SELECT count(*) FROM embeddings)),
+ s AS (SELECT query_id, vec_id AS product_id, {rounded('list_cosine_similarity(v, embedding::double[])', 9)} AS score FROM a, embeddings),
+ r AS (SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS int) AS position FROM s) SELECT query_id, product_id, {rounded('score', 6)} AS score, position FROM r WHERE position <= 5""")
+def _(spark, sf):
+    """A query set too large to travel with the job: every part asks with a stored vector."""
+    docs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("product_id"), F.col("embedding").alias("vector"))
+    asked = table(spark, sf, "part").select(F.col("p_partkey").alias("query_id"), (F.col("p_partkey") % docs.count()).alias("product_id")).join(docs, "product_id").drop("product_id")
+    return vec.dense_topk(docs, asked, 5).withColumn("score", F.round("score", 6))
+
+
+PART_TEXTS = "SELECT cast(p_partkey AS varchar) AS id, 'text' AS field, 1.0::double AS boost, p_brand || ' ' || p_size AS text FROM part"
+LINE_TEXTS = """SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS query_id, concat_ws(' ', split_part(p_brand, '#', 2), p_size, l_returnflag, l_linestatus, 'line' || l_linenumber) AS text
+ FROM lineitem JOIN part ON p_partkey = l_partkey"""
+
+
+@check("sparse_topk_many", f"WITH {bm25(PART_TEXTS, LINE_TEXTS)} SELECT query_id, id AS product_id, {rounded('score', 6)} AS score, position FROM ranked WHERE position <= 5")
+def _(spark, sf):
+    """A query set of more words than one broadcast holds: every order line asks for parts like its own."""
+    part = table(spark, sf, "part")
+    texts = part.select(F.col("p_partkey").cast("string").alias("product_id"), F.concat_ws(" ", "p_brand", "p_size").alias("text"))
+    lines = table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("query_id"),
+        F.concat_ws(" ", F.split_part("p_brand", F.lit("#"), F.lit(2)), "p_size", "l_returnflag", "l_linestatus", F.concat(F.lit("line"), F.col("l_linenumber"))).alias("query_text"),
+    )
+    return ts.sparse_topk(texts, lines, 5).withColumn("score", F.round("score", 6))
+
+
 # ---------------------------------------------------------------- hybrid
 
 ZERO = f"[0.0::double for i in range({DIM})]"

@@ -97,6 +97,19 @@ def test_dense_topk_is_exact_under_conditions(spark, options):
         assert [s for _, s in mine] == pytest.approx([-s for s, _ in scores], abs=1e-8)
 
 
+@pytest.mark.parametrize("most_bytes", [64 << 20, 8 * 4 * 10])
+def test_documents_may_ask_for_each_other(spark, monkeypatch, most_bytes):
+    """Queries made from the documents themselves, within one shipped table and in blocks that the bytes make small."""
+    _, _, p, _ = data(spark)
+    monkeypatch.setattr(vec, "MAX_CHUNK_BYTES", most_bytes)
+    docs = p.select("product_id", "vector")
+    asked = p.select("product_id", "price").join(docs, "product_id").withColumnRenamed("product_id", "query_id")
+    got = {(r.query_id, r.product_id): r.score for r in vec.dense_topk(docs, asked, 120).collect()}
+    rows = docs.collect()
+    want = {(a.product_id, b.product_id): cosine(a.vector, b.vector) for a in rows for b in rows}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want)
+
+
 @pytest.mark.parametrize("max_inline", [1024, 4])
 def test_weighted_search_sums_its_parts(spark, monkeypatch, max_inline):
     products, queries, p, q = data(spark, n_products=60, n_queries=12)
