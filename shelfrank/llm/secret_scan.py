@@ -1,6 +1,9 @@
 """Secret scans: long unbroken strings, and a random forest that removes false positives.
 
-Candidates are runs of 16 or more letters, digits and ``+ / = _ -``. Each gets its length,
+Candidates are runs of 16 or more letters, digits and ``+ / _ -`` with up to two ``=`` at their
+end, tokens of three dotted parts, and values of 8 or more signs assigned to the name of a secret:
+any signs but white space inside quotes, and without quotes where a digit is among them. What
+stands before ``=`` is a name, no part of the candidate. Each gets its length,
 its character transitions (changes of class, and how likely its letter pairs are in the
 corpus's own words), the share covered by dictionary words, what its path looks like, and its
 neighbouring words. A random forest trained on labelled findings gives the probability that
@@ -14,7 +17,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfrank.llm.common import pick, stored, utf8
 
-CANDIDATE = r"[A-Za-z0-9+/=_-]{16,}"
+# Candidates are whole matches without groups, as texts are also split by them; short tests come first, for speed.
+_NAMED = r"(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)[A-Za-z0-9_-]{0,16}[\"'`]?[ \t]{0,4}[=:][ \t]{0,4}"
+_QUOTED = "|".join(f"(?<={q})(?<={_NAMED}{q})[^{q}\\s]{{8,}}(?={q})" for q in ('"', "'", "`"))
+_DOTTED = r"(?<![A-Za-z0-9_-])(?:eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]{8,}|[A-Za-z0-9_-]{20,}\.[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{20,})"
+_PLAIN = rf"(?<=[=: \t])(?<=[=:][ \t]{{0,4}})(?<={_NAMED})(?=[^\s\"'`,;]{{0,256}}[0-9])[^\s\"'`,;]{{8,}}"
+_RUN = r"(?![A-Za-z0-9+/_-]{0,128}=[^=\s])[A-Za-z0-9+/_-]{16,}={0,2}"
+CANDIDATE = f"(?:{_QUOTED}|{_DOTTED}|{_PLAIN}|{_RUN})"
 # Letters of context kept on either side; the forest looks at the words next to a candidate.
 CONTEXT = 48
 # Coverage and pairs are counted inside pieces of this many characters.

@@ -180,3 +180,20 @@ def test_secrets_on_odd_tables(spark):
     assert [(r.position, r.label, r.secret) for r in found.collect()] == [(0, 1, True)]
     assert [r.text for r in sc.redacted(one, found).collect()] == ['password: "[SECRET]"'] * 2
     assert sc.secret_scan(one.filter(F.lit(False))).count() == 0
+
+
+def test_forms_of_secrets(spark):
+    """Short values, the form of .env files, dotted tokens; every form is redacted from its text."""
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P"
+    forms = [
+        ('password = "%s"', "Tr0ub4dor&3x"), ('pwd: "%s"', "s3cr3t-P4ss"), ("API_KEY=%s", "9f86d081884c7d659a2feaa0c55ad015"), ('token = "%s"', jwt),
+        ("AWS_SECRET_ACCESS_KEY=%s\n", "wJalrXUtnFEMI/K7MDENG+bPxRfiCYzzKEY1"), ('{"api_key":"%s"}', "k3y!k3y!9"), ("password: %s then", "hunter2hunter"), ("secret = '%s'", 'a"b8c$d9e'),
+    ]
+    rows, secrets = made_documents()
+    rows += [(1000 + i, form % value, "en", "x", 1) for i, (form, value) in enumerate(forms)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    findings = sc.secret_scan(frame)
+    got = {r.id: (r.candidate, r.label, r.secret) for r in findings.filter("id >= 1000").collect()}
+    assert got == {1000 + i: (value, 1, True) for i, (_, value) in enumerate(forms)}
+    clean = {r.doc_id: r.text for r in sc.redacted(frame, findings).filter("doc_id >= 1000").collect()}
+    assert clean == {1000 + i: form % "[SECRET]" for i, (form, _) in enumerate(forms)}
