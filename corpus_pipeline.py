@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfrank.llm import byte_cnn, compression_bands, jaccard_groups, length_buckets, queries, secret_scan
+from shelfrank.llm import byte_cnn, compression_bands, length_buckets, queries, secret_scan, simhash_index
 from shelfrank.llm.common import pick, utf8
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -37,8 +37,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: shingles of five words, a Jaccard coefficient of 0.8 or more."""
-    return jaccard_groups.one_per_group(_documents(docs))
+    """One document of each group of near-duplicates: SimHash over three-word shingles, links of at most three bits."""
+    return simhash_index.one_per_group(_documents(docs), size=3, most=3)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
