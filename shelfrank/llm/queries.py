@@ -2,7 +2,9 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfrank.llm import byte_cnn, compression_bands, host_reputation, kd_shards, length_buckets, license_scan, piece_offsets, secret_scan, segment_search, simhash_index
+from shelfrank.llm import (
+    bond_scan, byte_cnn, compression_bands, host_reputation, html_blocks, kd_shards, length_buckets, license_scan, piece_offsets, prefix_trie, secret_scan, segment_search, simhash_index,
+)
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 SHARDS = 16
@@ -80,6 +82,21 @@ def op10_simhash_index(spark, sf_dir):
     return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_html_blocks(spark, sf_dir):
+    return html_blocks.extracted(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+def op12_prefix_trie(spark, sf_dir):
+    conv = F.col("conv_id")
+    turns = prefix_trie.ordered_turns(_table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(*prefix_trie.with_shared_starts(turns, conv - conv % 20, F.crc32(conv.cast("string")) % 4))
+
+
+def op13_bond_scan(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return bond_scan.hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("id") % 100 == 0)
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -88,7 +105,7 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_compression_bands, op2_host_reputation, op3_length_buckets, op4_kd_shards, op5_byte_cnn, op6_secret_scan,
-    op7_segment_search, op8_piece_offsets, op9_license_scan, op10_simhash_index, pipeline,
+    op7_segment_search, op8_piece_offsets, op9_license_scan, op10_simhash_index, op11_html_blocks, op12_prefix_trie, op13_bond_scan, pipeline,
 )}
 
 
@@ -150,10 +167,20 @@ best AS (SELECT *, 2 * shared::double / (a + b) AS score, row_number() OVER (PAR
 SELECT doc_id, kind, number::int AS number, license, shared::int AS shared, a::int AS unit_bigrams, round(score, 6) AS dice FROM best WHERE r = 1 AND score >= {license_scan.THRESHOLD}"""
 
 OP7_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS e FROM embeddings
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::bigint AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::int AS rank, vec_id, score FROM r WHERE rank <= 5"""
 
-ORACLES = {"op2_host_reputation": OP2_SQL, "op7_segment_search": OP7_SQL, "op9_license_scan": OP9_SQL}
+OP13_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END::bigint AS label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+one AS (SELECT vec_id, label, e FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY label, e) AS r FROM v) WHERE r = 1),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, coalesce(list_sum(list_transform(list_zip(a.e, c.e), lambda p: p[1] * p[2])), 0)::bigint AS score FROM one a JOIN one c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE same) WHERE r <= 5),
+n AS (SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank::int AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
+
+ORACLES = {"op2_host_reputation": OP2_SQL, "op7_segment_search": OP7_SQL, "op9_license_scan": OP9_SQL, "op13_bond_scan": OP13_SQL}
