@@ -21,13 +21,16 @@ from shelfrank.llm.common import pick, stored, utf8
 _NAMED = r"(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)[A-Za-z0-9_-]{0,16}[\"'`]?[ \t]{0,4}[=:][ \t]{0,4}"
 _QUOTED = "|".join(f"(?<={q})(?<={_NAMED}{q})[^{q}\\s]{{8,}}(?={q})" for q in ('"', "'", "`"))
 _DOTTED = r"(?<![A-Za-z0-9_-])(?:eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]{8,}|[A-Za-z0-9_-]{20,}\.[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{20,})"
-_PLAIN = rf"(?<=[=: \t])(?<=[=:][ \t]{{0,4}})(?<={_NAMED})(?=[^\s\"'`,;]{{0,256}}[0-9])[^\s\"'`,;]{{8,}}"
-_RUN = r"(?![A-Za-z0-9+/_-]{0,128}=[^=\s])[A-Za-z0-9+/_-]{16,}={0,2}"
+_PLAIN = rf"(?<=[=: \t])(?<=[=:][ \t]{{0,4}})(?<={_NAMED})(?=[^\s\"'`,;0-9]*+[0-9])[^\s\"'`,;]{{8,}}"
+# Tried at the start of a run only, so a run is read once whatever its length.
+_RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{16})(?![A-Za-z0-9+/_-]*+=[^=\s])[A-Za-z0-9+/_-]{16,}={0,2}"
 CANDIDATE = f"(?:{_QUOTED}|{_DOTTED}|{_PLAIN}|{_RUN})"
 # Letters of context kept on either side; the forest looks at the words next to a candidate.
 CONTEXT = 48
-# Coverage and pairs are counted inside pieces of this many characters.
+# Long candidates are looked at in pieces of this many characters, each with the start of the next one.
 SEGMENT = 256
+# Stands around candidates while a text is cut; where a text has it, another control character takes its place.
+MARK, OTHER = "\x01", "\x02"
 # Names of secrets, of public hashes, and marks of examples.
 SECRET_NAME = r"(?i)(token|secret|passw(or)?d|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)"
 PUBLIC_NAME = r"(?i)(sha-?1|sha-?256|md5|commit|checksum|digest|etag|integrity|uuid|revision)"
@@ -51,14 +54,23 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     texts = pick(df, **columns)
     path = F.coalesce(F.col("path").cast("string"), F.lit("")) if path_col else F.lit("")
     raw = utf8(F.col("text"))
-    split = texts.select("id", path.alias("path"), F.xxhash64(raw).alias("hash"), F.octet_length(raw).alias("bytes"), F.regexp_extract_all("text", F.lit(f"({CANDIDATE})"), 1).alias("found"), F.split("text", CANDIDATE, -1).alias("gaps")).filter(F.size("found") > 0)
-    around = F.transform(
-        "found",
-        lambda x, i: F.struct(
-            x.alias("candidate"), F.right(F.get("gaps", i), F.lit(CONTEXT)).alias("before"), F.left(F.get("gaps", i + 1), F.lit(CONTEXT)).alias("after"), F.length(F.get("gaps", i)).alias("gap")
+    # The pattern runs over a text once: it sets marks, and the parts between them are gaps and candidates in turn.
+    marked = F.regexp_replace(F.replace("text", F.lit(MARK), F.lit(OTHER)), f"({CANDIDATE})", f"{MARK}$1{MARK}")
+    parts = F.transform(
+        F.array(F.split(marked, MARK, -1)),
+        lambda cut: F.filter(
+            F.transform(
+                cut,
+                lambda x, i: F.struct(
+                    i.alias("part"), x.alias("candidate"), F.right(F.get(cut, i - 1), F.lit(CONTEXT)).alias("before"),
+                    F.left(F.get(cut, i + 1), F.lit(CONTEXT)).alias("after"), F.length(F.get(cut, i - 1)).alias("gap"),
+                ),
+            ),
+            lambda x: x["part"] % 2 == 1,
         ),
     )
-    rows = split.select(*KEY, "path", F.posexplode(around).alias("position", "one")).select(*KEY, "path", "position", "one.*")
+    split = texts.select("id", path.alias("path"), F.xxhash64(raw).alias("hash"), F.octet_length(raw).alias("bytes"), F.flatten(parts).alias("found"))
+    rows = split.select(*KEY, "path", F.posexplode("found").alias("position", "one")).select(*KEY, "path", "position", "one.*")
     once = rows.groupBy(*KEY, "position", "candidate", "before", "after", "gap").agg(F.min("path").alias("path"))
     so_far = Window.partitionBy(*KEY).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.length("candidate")).over(so_far)
@@ -71,10 +83,11 @@ def dictionary(df: DataFrame, text_col: str = "text", most: int = 5000) -> DataF
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(most)
 
 
-def _segments(strings: DataFrame) -> DataFrame:
-    """(candidate, part, piece): lower-cased pieces of each distinct candidate."""
-    cut = F.regexp_extract_all(F.lower("candidate"), F.lit(f"(.{{1,{SEGMENT}}})"), 1)
-    return strings.select("candidate", F.posexplode(cut).alias("part", "piece"))
+def _segments(strings: DataFrame, size: int, over: int) -> DataFrame:
+    """(candidate, part, piece): lower-cased pieces of ``size`` characters of each distinct candidate, each with the ``over`` first ones of the next piece."""
+    cut = F.regexp_extract_all(F.lower("candidate"), F.lit(f"(?s)(.{{1,{size}}})"), 1)
+    pieces = F.flatten(F.transform(F.array(cut), lambda all_: F.transform(all_, lambda x, i: F.concat(x, F.left(F.coalesce(F.get(all_, i + 1), F.lit("")), F.lit(over))))))
+    return strings.select("candidate", F.posexplode(pieces).alias("part", "piece"))
 
 
 def pair_likelihood(strings: DataFrame, words: DataFrame) -> DataFrame:
@@ -84,21 +97,27 @@ def pair_likelihood(strings: DataFrame, words: DataFrame) -> DataFrame:
     first = seen.groupBy(F.left("pair", F.lit(1)).alias("first")).agg(F.sum("n").alias("of"))
     # At most 26 x 26 pairs.
     table = seen.join(F.broadcast(first), F.left("pair", F.lit(1)) == F.col("first")).select("pair", F.log2(F.col("n") / F.col("of")).alias("bits"))
-    mine = _segments(strings).filter(F.length("piece") > 1).select("candidate", F.explode(pairs(F.col("piece"))).alias("pair"))
+    mine = _segments(strings, SEGMENT, 1).filter(F.length("piece") > 1).select("candidate", F.explode(pairs(F.col("piece"))).alias("pair"))
     return mine.join(F.broadcast(table), "pair", "left").groupBy("candidate").agg(F.avg(F.greatest(F.lit(-12.0), F.coalesce("bits", F.lit(-12.0)))).alias("pair_likelihood"))
 
 
-def coverage(strings: DataFrame, words: DataFrame, longest: int = 8) -> DataFrame:
-    """(candidate, coverage): the share of characters inside a dictionary word of 3 to ``longest`` letters. Candidates without any are left out."""
+def coverage(strings: DataFrame, words: DataFrame) -> DataFrame:
+    """(candidate, coverage): the share of characters inside a dictionary word, of whatever length. Candidates without any are left out."""
+    # As many lengths as the dictionary has words at most, some dozen in texts of words.
+    lengths = sorted(r.n for r in words.select(F.length("word").alias("n")).distinct().collect())
+    if not lengths:
+        return strings.select("candidate", F.lit(0.0).alias("coverage")).limit(0)
+    size = max(SEGMENT, lengths[-1])
     inside = lambda x: F.flatten(
         F.transform(
-            F.sequence(F.lit(1), F.length(x) - 2),
-            lambda i: F.transform(F.sequence(F.lit(3), F.least(F.lit(longest), F.length(x) - i + 1)), lambda n: F.struct(i.alias("at"), F.substring(x, i, n).alias("word"))),
+            F.sequence(F.lit(1), F.length(x)),
+            lambda i: F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length(x) - i + 1), lambda n: F.struct(i.alias("at"), F.substring(x, i, n).alias("word"))),
         )
     )
-    spans = _segments(strings).filter(F.length("piece") > 2).select("candidate", "part", F.explode(inside(F.col("piece"))).alias("span")).select("candidate", "part", "span.*")
+    spans = _segments(strings, size, lengths[-1] - 1).select("candidate", "part", F.explode(inside(F.col("piece"))).alias("span")).select("candidate", "part", "span.*")
     # The dictionary has a fixed number of words.
-    covered = spans.join(F.broadcast(words.select("word")), "word").select("candidate", "part", F.explode(F.sequence(F.col("at"), F.col("at") + F.length("word") - 1)).alias("at")).distinct()
+    covered = spans.join(F.broadcast(words.select("word")), "word").select("candidate", F.explode(F.sequence(F.col("at"), F.col("at") + F.length("word") - 1)).alias("at"), "part")
+    covered = covered.select("candidate", (F.col("part") * size + F.col("at")).alias("at")).distinct()
     return covered.groupBy("candidate").agg(F.count(F.lit(1)).alias("covered")).select("candidate", (F.col("covered") / F.length("candidate")).alias("coverage"))
 
 
@@ -110,8 +129,10 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
     count = lambda pattern: F.regexp_count(c, F.lit(pattern)).cast("double")
     near = F.regexp_extract(before, r"([^\n]{0,48})$", 1)
     changes = "(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])"
-    strings = found.select("candidate").distinct()
-    rich = found.join(pair_likelihood(strings, words), "candidate", "left").join(coverage(strings, words), "candidate", "left")
+    # Counted once for each distinct string and written, so that many copies of one secret are a plain join, which Spark can split.
+    strings = stored(found.select("candidate").distinct())
+    counted = stored(strings.join(pair_likelihood(strings, words), "candidate", "left").join(coverage(strings, words), "candidate", "left"))
+    rich = found.join(counted, "candidate", "left")
     return rich.withColumns(
         {
             "length": F.log2(size), "digits": count("[0-9]") / size, "upper": count("[A-Z]") / size,
@@ -163,7 +184,7 @@ def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     surroundings leave no doubt are the labelled ones. The dictionary is that of ``df``. An empty table gives no rows.
     """
     words = stored(dictionary(df, text_col))
-    rich = with_features(candidates(df, id_col, text_col, path_col), words)
+    rich = with_features(stored(candidates(df, id_col, text_col, path_col)), words)
     rich = stored(rich.withColumn("label", findings_label(rich)))
     known = rich if labelled is None else with_features(labelled, words)
     return scored_findings(rich, known).withColumn("secret", F.col("score") >= least)
