@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from checks.catalog_checks import JOIN_COLUMNS, STRINGIFY
 from checks.fixtures import duck, table, view
 from checks.registry import check, rounded
-from shelfrank.operators import boosting, catalog as cat, filters, retrieval as rt, textsearch as ts, vectors as vec
+from shelfrank.operators import bitmaps, boosting, catalog as cat, filters, retrieval as rt, textsearch as ts, vectors as vec
 from shelfrank.operators.profiling import value_counts
 
 DIM = 64
@@ -66,7 +66,15 @@ def run_filter(spark, sf, **options):
     return pairs.groupBy("query_id").agg(F.count("*").alias("n"), F.sum(key).alias("keys"))
 
 
+def run_bitmaps(spark, sf, **options):
+    pairs = bitmaps.bitmap_filter(products(spark, sf), queries(spark, sf), **options)
+    key = F.regexp_extract("product_id", r"(\d+)", 1).cast("long")
+    return pairs.groupBy("query_id").agg(F.count("*").alias("n"), F.sum(key).alias("keys"))
+
+
 check("param_filter", matched())(lambda spark, sf: run_filter(spark, sf))
+check("param_filter_bitmaps", matched())(lambda spark, sf: run_bitmaps(spark, sf))
+check("class_text_filter_bitmaps", matched(class_text=True))(lambda spark, sf: run_bitmaps(spark, sf, class_text=True))
 check("class_text_filter", matched(class_text=True))(lambda spark, sf: run_filter(spark, sf, class_text=True))
 
 

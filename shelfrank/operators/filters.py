@@ -67,7 +67,7 @@ def match_condition(product, query, class_text: bool = False) -> Column:
     return keep
 
 
-def _tagged(column: Column, attribute: str) -> Column:
+def tagged(column: Column, attribute: str) -> Column:
     return F.coalesce(F.transform(column, lambda v: F.concat(F.lit(f"{attribute}="), v)), F.array().cast("array<string>"))
 
 
@@ -84,7 +84,7 @@ def param_filter(products: DataFrame, queries: DataFrame, absent: str = "positiv
     q = prepare_params(queries, absent)
     wanted = F.lit(None).cast("array<string>")
     for attribute in reversed(LIST_ATTRIBUTES):
-        wanted = F.when(F.col(attribute).isNotNull(), _tagged(F.col(attribute), attribute)).otherwise(wanted)
+        wanted = F.when(F.col(attribute).isNotNull(), tagged(F.col(attribute), attribute)).otherwise(wanted)
     spread = F.array(*[F.lit(f"any#{i}") for i in range(SPREAD)])
     params = [*LIST_PARAMS, *RANGE_PARAMS, "product_class"]
     left = (
@@ -93,7 +93,7 @@ def param_filter(products: DataFrame, queries: DataFrame, absent: str = "positiv
     )
     own = F.concat(F.lit("any#"), F.pmod(F.xxhash64("product_id"), F.lit(SPREAD)))
     right = (
-        products.withColumn("tags", F.array_distinct(F.concat(*[_tagged(F.col(a), a) for a in LIST_ATTRIBUTES])))
+        products.withColumn("tags", F.array_distinct(F.concat(*[tagged(F.col(a), a) for a in LIST_ATTRIBUTES])))
         .select("product_id", F.struct(*LIST_ATTRIBUTES, *[r[0] for r in RANGES], "product_class", "tags").alias("p"), F.explode(F.array_append("tags", own)).alias("anchor"))
     )
     # A product may hold several of the wanted values: only the first of them counts.
