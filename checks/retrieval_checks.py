@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from checks.catalog_checks import JOIN_COLUMNS, STRINGIFY
 from checks.fixtures import duck, table, view
 from checks.registry import check, rounded
-from shelfrank.operators import bitmaps, boosting, catalog as cat, filters, retrieval as rt, textsearch as ts, vectors as vec
+from shelfrank.operators import bitmaps, blockmax, boosting, catalog as cat, filters, retrieval as rt, textsearch as ts, vectors as vec
 from shelfrank.operators.profiling import value_counts
 
 DIM = 64
@@ -134,6 +134,11 @@ def _(spark, sf):
     return ts.sparse_topk(documents(spark, sf), benchmark(spark, sf), 20).withColumn("score", F.round("score", 6))
 
 
+@check("sparse_topk_bounded", f"WITH {bm25(DOC_TEXTS, BENCH)} SELECT query_id, id AS product_id, {rounded('score', 6)} AS score, position FROM ranked WHERE position <= 20")
+def _(spark, sf):
+    return blockmax.bounded_topk(documents(spark, sf), benchmark(spark, sf), 20).withColumn("score", F.round("score", 6))
+
+
 FIELDS = "SELECT product_id AS id, f AS field, b AS boost, t AS text FROM (" + " UNION ALL ".join(
     f"SELECT product_id, '{f}' AS f, {b}::double AS b, {'coalesce(array_to_string(' + f + ', chr(32)), chr(32))' if f in ('material', 'style', 'color') else f} AS t FROM c"
     for f, b in ts.FIELD_BOOSTS.items()
@@ -203,8 +208,10 @@ LINE_TEXTS = """SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_sup
  FROM lineitem JOIN part ON p_partkey = l_partkey"""
 
 
-@check("sparse_topk_many", f"WITH {bm25(PART_TEXTS, LINE_TEXTS)} SELECT query_id, id AS product_id, {rounded('score', 6)} AS score, position FROM ranked WHERE position <= 5")
-def _(spark, sf):
+MANY = f"WITH {bm25(PART_TEXTS, LINE_TEXTS)} SELECT query_id, id AS product_id, {rounded('score', 6)} AS score, position FROM ranked WHERE position <= 5"
+
+
+def parts_and_lines(spark, sf):
     """A query set of more words than one broadcast holds: every order line asks for parts like its own."""
     part = table(spark, sf, "part")
     texts = part.select(F.col("p_partkey").cast("string").alias("product_id"), F.concat_ws(" ", "p_brand", "p_size").alias("text"))
@@ -212,7 +219,17 @@ def _(spark, sf):
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("query_id"),
         F.concat_ws(" ", F.split_part("p_brand", F.lit("#"), F.lit(2)), "p_size", "l_returnflag", "l_linestatus", F.concat(F.lit("line"), F.col("l_linenumber"))).alias("query_text"),
     )
-    return ts.sparse_topk(texts, lines, 5).withColumn("score", F.round("score", 6))
+    return texts, lines
+
+
+@check("sparse_topk_many", MANY)
+def _(spark, sf):
+    return ts.sparse_topk(*parts_and_lines(spark, sf), 5).withColumn("score", F.round("score", 6))
+
+
+@check("sparse_topk_many_bounded", MANY)
+def _(spark, sf):
+    return blockmax.bounded_topk(*parts_and_lines(spark, sf), 5).withColumn("score", F.round("score", 6))
 
 
 # ---------------------------------------------------------------- hybrid

@@ -90,25 +90,8 @@ def by_document(df: DataFrame) -> DataFrame:
     return df.repartition(parts, "product_id")
 
 
-def search_texts(texts: DataFrame, queries: DataFrame, n: int, text: str = "query_text", products: DataFrame | None = None,
-                 absent: str = "positive", max_terms: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """n best documents per query by summed term weights: (query_id, product_id, score, position).
-
-    ``texts`` has product_id, field, boost, text: statistics are per field, scores add
-    up over fields. With ``products`` the per-query conditions apply before the cut.
-
-    Words no query asks for are dropped before any shuffle. What is left is partitioned
-    by document once; frequencies, conditions and scores are then all computed inside
-    that partitioning, and each task passes on n rows per query. A term found in most
-    documents therefore never moves its document-query pairs over the network.
-
-    Query words beyond ``max_terms`` rows are searched in blocks of about that size over
-    the same written document weights.
-    """
-    terms = query_terms(queries, text)
-    small = fits_inline(terms, max_terms)
-    # Everything sent to all tasks below is about as large as a checked table or block.
-    send = F.broadcast if small else (lambda table: table)
+def asked_weights(texts: DataFrame, terms: DataFrame, send) -> DataFrame:
+    """(product_id, term, weight) of the words some query asks for, summed over fields; ``send`` marks tables of checked size for broadcast."""
     vocabulary = terms.select("term").distinct()
     words = texts.select("product_id", "field", "boost", tokens(F.col("text")).alias("words"))
     found = by_document(
@@ -116,6 +99,7 @@ def search_texts(texts: DataFrame, queries: DataFrame, n: int, text: str = "quer
         .join(send(vocabulary), "term", "left_semi")
     )
     counted = found.groupBy("product_id", "field", "boost", "length", "term").agg(F.count("*").alias("tf"))
+    # About as large as the vocabulary.
     spread = counted.groupBy("field", "term").agg(F.count("*").alias("df"))
     # One entry per field, of which there are a handful.
     lengths = as_map(
@@ -124,12 +108,32 @@ def search_texts(texts: DataFrame, queries: DataFrame, n: int, text: str = "quer
     )
     stats = F.col("lengths")[F.col("field")]
     weight = term_weight(F.col("tf"), F.col("df"), F.col("length"), stats.mean_length, stats.docs)
-    weighted = (
+    return (
         counted.join(send(spread), ["field", "term"])
         .withColumn("lengths", lengths)
         .groupBy("product_id", "term")
         .agg(F.sum(F.col("boost") * weight).alias("weight"))
     )
+
+
+def search_texts(texts: DataFrame, queries: DataFrame, n: int, text: str = "query_text", products: DataFrame | None = None,
+                 absent: str = "positive", max_terms: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """n best documents per query by summed term weights: (query_id, product_id, score, position).
+
+    ``texts`` has product_id, field, boost, text: statistics are per field, scores add
+    up over fields. With ``products`` the per-query conditions apply before the cut.
+
+    Words no query asks for are dropped before any shuffle. What is left is partitioned
+    by document once; frequencies, conditions and scores are then all computed inside
+    that partitioning, and each task passes on n rows per query. A term found in most
+    documents therefore never moves its document-query pairs over the network.
+
+    Query words beyond ``max_terms`` rows are searched in blocks of about that size over
+    the same written document weights.
+    """
+    terms = query_terms(queries, text)
+    small = fits_inline(terms, max_terms)
+    weighted = asked_weights(texts, terms, F.broadcast if small else (lambda table: table))
     if products is not None:
         attributes = F.struct(*LIST_ATTRIBUTES, *[r[0] for r in RANGES]).alias("p")
         weighted = weighted.join(products.select("product_id", attributes), "product_id")
