@@ -2,7 +2,7 @@
 
 Every dimension of a row becomes one long: its value scaled to 2^20 steps between the
 smallest and the largest of the table, followed by 40 bits of a hash of the row's id and
-text. The hash orders rows whose values tie, so a source with a third of all rows is cut
+text. A text's value is its rank among the distinct ones, counted in bytes of the rows before it. The hash orders rows whose values tie, so a source with a third of all rows is cut
 like any other, and both halves of a cut have the bytes asked for.
 
 A cut is found by counting bytes in equal ranges of the key and counting again inside the
@@ -13,7 +13,7 @@ nodes x ranges sums, never rows.
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from shelfrank.llm.common import numbered, pick, ship, stored, utf8
 
@@ -31,12 +31,25 @@ class Node:
 
 
 def as_number(kind: T.DataType, column: Column) -> Column:
-    """A metadata column as a number that keeps its order; texts by their first six bytes. Null and NaN: null."""
+    """A numeric metadata column as a number, another one as text. NaN and infinite: null."""
     if isinstance(kind, T.NumericType):
         value = column.cast("double")
         return F.when(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), value)
-    head = F.rpad(F.hex(F.substring(column.cast("string").cast("binary"), 1, 6)), 12, "0")
-    return F.conv(head, 16, 10).cast("double")
+    return column.cast("string")
+
+
+def text_ranks(rows: DataFrame, column: str) -> DataFrame:
+    """(value, rank) of each distinct text of ``column``: the bytes of all rows with a smaller one.
+
+    Distinct values are range-sorted and summed in their parts; only one row a part is summed in one task.
+    """
+    held = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.sum("size").alias("bytes"))
+    dealt = stored(held.repartitionByRange("value").sortWithinPartitions("value").withColumn("at", F.monotonically_increasing_id()))
+    dealt = dealt.withColumn("part", F.shiftright("at", 33))
+    parts = dealt.groupBy("part").agg(F.sum("bytes").alias("held"))
+    starts = parts.select("part", F.coalesce(F.sum("held").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    before = F.sum("bytes").over(Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    return dealt.join(starts, "part").select("value", (F.col("start") + F.coalesce(before, F.lit(0))).cast("double").alias("rank"))
 
 
 def _keyed(rows: DataFrame, dimensions: int) -> DataFrame:
@@ -105,13 +118,17 @@ def kd_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", by=
 
     ``size`` is the text's UTF-8 bytes plus 1; a null text has none, and the CRC of no
     bytes, 0. Null metadata come before all values. Rows alike in id and text can't be told
-    apart and share a shard. An empty table gives no rows.
+    apart and share a shard. An empty table gives no rows. Texts are ordered by their UTF-8 bytes, over their whole length.
     """
     kinds = {f.name: f.dataType for f in df.schema}
     rows = pick(df, id=id_col, text=text_col, **{f"by{i}": c for i, c in enumerate(by)})
     size = F.octet_length(utf8(F.col("text"))).cast("bigint") + 1
     numbers = [F.log2(size), *[as_number(kinds[c], F.col(f"by{i}")) for i, c in enumerate(by)]]
     rows = stored(rows.select("id", size.alias("size"), F.crc32(utf8(F.col("text"))).alias("text_crc32"), *[n.alias(f"d{i}") for i, n in enumerate(numbers)]))
+    # A frequent value is one hot key of a plain join, which Spark can split.
+    for name in [f.name for f in rows.schema if f.name != "id" and isinstance(f.dataType, T.StringType)]:
+        rows = rows.join(text_ranks(rows, name), F.col(name) == F.col("value"), "left").withColumn(name, F.col("rank")).drop("value", "rank")
+    rows = stored(rows)
     if shards is None:
         shards = max(1, -(-(rows.agg(F.sum("size")).first()[0] or 0) // target_bytes))
     keyed = _keyed(rows, len(numbers)).withColumn("node", F.lit(0))

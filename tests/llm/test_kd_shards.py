@@ -58,3 +58,17 @@ def test_target_bytes_and_odd_rows(spark):
     by_shard(rows)
     empty, _ = kd.kd_shards(frame.filter(F.lit(False)), shards=4)
     assert empty.count() == 0
+
+
+def test_texts_that_start_alike_are_told_apart(spark):
+    """Sources that differ late, one of them far off the others, still make a dimension of full width."""
+    names = ["https://a.com", "https://b.org", "https://b.org/second", "zzzz"]
+    frame = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("abcd").alias("text"), F.element_at(F.array(*map(F.lit, names)), (F.col("id") % 4 + 1).cast("int")).alias("source"))
+    rows, tree = kd.kd_shards(frame, by=("source",), shards=4)
+    held = {s: {r.id % 4 for r in g} for s, g in by_shard(rows.collect()).items()}
+    assert tree[0][0].dimension == 1 and held == {i: {i} for i in range(4)}
+
+
+def test_ranks_count_bytes(spark):
+    frame = spark.createDataFrame([("b", 5), ("a", 2), ("b", 1), (None, 9), ("é", 1), ("", 3)], "t string, size bigint")
+    assert {r.value: r.rank for r in kd.text_ranks(frame, "t").collect()} == {"": 0.0, "a": 3.0, "b": 5.0, "é": 11.0}
