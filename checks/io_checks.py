@@ -8,7 +8,7 @@ from checks.fixtures import duck, table, view
 from checks.registry import check, rounded
 from shelfrank.operators import queryset as qs, textsearch as ts
 from shelfrank.session import shared_folder
-from shelfrank.sources import readers as rd, writers as wr
+from shelfrank.sources import jsonsplit as js, readers as rd, writers as wr
 
 LISTS = ["material", "style", "color", "countryoforigin"]
 
@@ -47,23 +47,40 @@ def _(spark, sf):
     )
 
 
-@check("scan_json_array", f"WITH {duck('q')} SELECT query_id, query_type, query_text, product_class, coalesce(array_to_string(color, '|'), '') AS color, price_max, rating_min, price_weight FROM q")
-def _(spark, sf):
+QUERY_ROWS = f"WITH {duck('q')} SELECT query_id, query_type, query_text, product_class, coalesce(array_to_string(color, '|'), '') AS color, price_max, rating_min, price_weight FROM q"
+MAP_ROWS = f"WITH {duck('result_map')} SELECT query_id, array_to_string(product_ids, '|') AS product_ids FROM result_map"
+QUERY_NAMES = ["product_class", "color", "price_max", "rating_min", "price_weight"]
+
+
+def query_rows(read):
+    return rd.flatten_params(read).select("query_id", "query_type", "query_text", *QUERY_NAMES).withColumn("color", F.coalesce(F.array_join("color", "|"), F.lit("")))
+
+
+def query_arrays(spark, sf):
+    """One file with one JSON array per query type."""
     path = folder(spark)
     q = view(spark, sf, "q")
-    names = ["product_class", "color", "price_max", "rating_min", "price_weight"]
-    entry = lambda color: F.to_json(F.struct("query_id", "query_type", "query_text", F.struct(*[color.alias(n) if n == "color" else n for n in names]).alias("query_params")))
+    entry = lambda color: F.to_json(F.struct("query_id", "query_type", "query_text", F.struct(*[color.alias(n) if n == "color" else n for n in QUERY_NAMES]).alias("query_params")))
     # One colour stands as a string, several as a list.
     text = F.when(F.size("color") == 1, entry(F.get("color", F.lit(0)))).otherwise(entry(F.col("color")))
     nested = q.select(text.alias("j"), "query_type")
     # One array per query type: the number of queries is the size of a vocabulary.
     arrays = nested.groupBy("query_type").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("value"))
     arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
-    return rd.flatten_params(rd.scan_json_array(spark, path)).select("query_id", "query_type", "query_text", *names).withColumn("color", F.coalesce(F.array_join("color", "|"), F.lit("")))
+    return path
+
+
+@check("scan_json_array", QUERY_ROWS)
+def _(spark, sf):
+    return query_rows(rd.scan_json_array(spark, query_arrays(spark, sf)))
 
 
-@check("scan_result_map", f"WITH {duck('result_map')} SELECT query_id, array_to_string(product_ids, '|') AS product_ids FROM result_map")
+@check("scan_large_json_array", QUERY_ROWS)
 def _(spark, sf):
+    return query_rows(js.scan_large_json_array(spark, query_arrays(spark, sf)))
+
+
+def result_objects(spark, sf):
     path = folder(spark)
     rows = view(spark, sf, "result_map")
     # One object per 1000 queries or so; each object is one file.
@@ -71,7 +88,17 @@ def _(spark, sf):
     part = F.pmod(F.xxhash64("query_id"), F.lit(1 + rows.count() // 1000))
     objects = rows.groupBy(part.alias("part")).agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ", "), F.lit("}")).alias("value"))
     objects.select("value").write.option("maxRecordsPerFile", 1).text(path)
-    return rd.scan_result_map(spark, path).select("query_id", *joined("product_ids"))
+    return path
+
+
+@check("scan_result_map", MAP_ROWS)
+def _(spark, sf):
+    return rd.scan_result_map(spark, result_objects(spark, sf)).select("query_id", *joined("product_ids"))
+
+
+@check("scan_large_result_map", MAP_ROWS)
+def _(spark, sf):
+    return js.scan_large_result_map(spark, result_objects(spark, sf)).select("query_id", *joined("product_ids"))
 
 
 @check("scan_lookup_map", """SELECT event_type AS raw, array_to_string(CASE WHEN last % 2 = 0 THEN [event_type || last, 'x'] ELSE [event_type || last] END, '|') AS normalized
