@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from checks.catalog_checks import JOIN_COLUMNS, STRINGIFY
 from checks.fixtures import duck, table, view
 from checks.registry import check, rounded
-from shelfrank.operators import bitmaps, blockmax, boosting, catalog as cat, filters, retrieval as rt, textsearch as ts, vectors as vec
+from shelfrank.operators import bitmaps, blockmax, boosting, catalog as cat, cells, filters, retrieval as rt, textsearch as ts, vectors as vec
 from shelfrank.operators.profiling import value_counts
 
 DIM = 64
@@ -193,14 +193,29 @@ def _(spark, sf):
     return vec.dense_topk(docs, centroids(spark, sf), 20).withColumn("score", F.round("score", 6))
 
 
-@check("dense_topk_many", f"""WITH a AS (SELECT p_partkey AS query_id, embedding::double[] AS v FROM part JOIN embeddings ON vec_id = p_partkey % (SELECT count(*) FROM embeddings)),
+DENSE_MANY = f"""WITH a AS (SELECT p_partkey AS query_id, embedding::double[] AS v FROM part JOIN embeddings ON vec_id = p_partkey % (SELECT count(*) FROM embeddings)),
  s AS (SELECT query_id, vec_id AS product_id, {rounded('list_cosine_similarity(v, embedding::double[])', 9)} AS score FROM a, embeddings),
- r AS (SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS int) AS position FROM s) SELECT query_id, product_id, {rounded('score', 6)} AS score, position FROM r WHERE position <= 5""")
-def _(spark, sf):
+ r AS (SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS int) AS position FROM s) SELECT query_id, product_id, {rounded('score', 6)} AS score, position FROM r WHERE position <= 5"""
+
+
+def parts_as_queries(spark, sf):
     """A query set too large to travel with the job: every part asks with a stored vector."""
     docs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("product_id"), F.col("embedding").alias("vector"))
     asked = table(spark, sf, "part").select(F.col("p_partkey").alias("query_id"), (F.col("p_partkey") % docs.count()).alias("product_id")).join(docs, "product_id").drop("product_id")
-    return vec.dense_topk(docs, asked, 5).withColumn("score", F.round("score", 6))
+    return docs, asked
+
+
+@check("dense_topk_many", DENSE_MANY)
+def _(spark, sf):
+    return vec.dense_topk(*parts_as_queries(spark, sf), 5).withColumn("score", F.round("score", 6))
+
+
+@check("dense_topk_cells", DENSE_MANY)
+def _(spark, sf):
+    docs, asked = parts_as_queries(spark, sf)
+    return cells.cell_topk(cells.cell_index(docs, 64), asked, 5).drop("certified").withColumn("score", F.round("score", 6))
+
+
 
 
 PART_TEXTS = "SELECT cast(p_partkey AS varchar) AS id, 'text' AS field, 1.0::double AS boost, p_brand || ' ' || p_size AS text FROM part"
