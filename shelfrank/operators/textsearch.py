@@ -51,7 +51,11 @@ def term_weight(tf: Column, df: Column, length: Column, mean_length: Column, doc
 
 
 def sparse_vectors(texts: DataFrame, key: str = "product_id") -> DataFrame:
-    """Weight of every term of every document in long form: (key, term, tf, weight)."""
+    """Weight of every term of every document in long form: (key, term, tf, weight).
+
+    The terms' document counts are written first. A vocabulary of checked size goes to the documents' words, which then are not
+    shuffled; a larger one is a plain join of two exchanges, where the optimizer splits a word found in every document.
+    """
     parts = texts.select(key, tokens(F.col("text")).alias("words"))
     stats = texts.agg(F.struct(F.count("*").alias("docs"), F.avg(token_count(F.col("text"))).alias("mean_length"))).scalar()
     counted = (
@@ -60,9 +64,9 @@ def sparse_vectors(texts: DataFrame, key: str = "product_id") -> DataFrame:
         .groupBy(key, "length", "term")
         .agg(F.count("*").alias("tf"))
     )
-    spread = counted.groupBy("term").agg(F.count("*").alias("df"))
+    spread = materialize(counted.groupBy("term").agg(F.count("*").alias("df")))
     return (
-        counted.join(spread, "term")
+        counted.join(small_side(spread), "term")
         .withColumn("stats", stats)
         .select(
             key, "term", "tf",

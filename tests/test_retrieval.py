@@ -256,3 +256,17 @@ def test_sparse_form_of_dense(spark):
     df = spark.createDataFrame([([0.0, 1.5, 0.0, -2.0],)], "v array<float>")
     s = df.select(vec.dense_nonzero_to_sparse(F.col("v")).alias("s")).first().s
     assert s.indices == [1, 3] and s["values"] == [1.5, -2.0]
+
+
+@pytest.mark.parametrize("limit", [200_000, 1])
+def test_one_word_in_every_text(spark, monkeypatch, limit):
+    """A word of all documents: the same weights whether the vocabulary is sent or joined."""
+    small = ts.small_side
+    monkeypatch.setattr(ts, "small_side", lambda df: small(df, limit))
+    texts = spark.range(3000).select(F.col("id").alias("product_id"), F.concat(F.lit("the w"), F.col("id") % 7).alias("text"))
+    made = ts.sparse_vectors(texts)
+    rows = made.groupBy("term").agg(F.count("*").alias("n"), F.max("weight").alias("w")).collect()
+    assert {r.term: r.n for r in rows} == {"the": 3000} | {f"w{i}": 429 if i < 4 else 428 for i in range(7)}
+    assert min(rows, key=lambda r: r.w).term == "the"
+    if limit > 1:
+        assert "BroadcastHashJoin" in made._jdf.queryExecution().executedPlan().toString()
