@@ -159,26 +159,27 @@ def _number(text, pattern):
 def extract_params(queries: DataFrame, vocabulary: DataFrame, text: str = "query_text") -> DataFrame:
     """Parameters read from the query text: (query_id, lists, class, bounds, description).
 
-    Word runs as long as the vocabulary's longest value meet it by equality. A value right
-    after "not" is negated, the longest class named wins, bounds come from the fixed phrases.
+    Vocabulary values of any length are met in one pass: every word of a query asks for the values that start
+    with it and the word behind it, and what meets is compared in full. The work grows with the words and the matches, not with
+    the longest value. A value right after "not" is negated, the longest class named wins, bounds come from the fixed phrases.
     """
-    phrases = materialize(vocabulary.select("category", "value", F.array_join(tokens(F.col("value")), " ").alias("phrase")).filter("phrase != ''"))
-    longest = phrases.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
+    parts = tokens(F.col("value"))
+    phrases = vocabulary.select("category", "value", F.array_join(parts, " ").alias("phrase"), F.size(parts).alias("length"), F.array_join(F.slice(parts, 1, 2), " ").alias("key"))
+    phrases = materialize(phrases.filter("phrase != ''"))
     lowered = queries.select("query_id", F.lower(text).alias("t"), F.col(text).alias("raw"))
-    words = lowered.withColumn("words", tokens(F.col("t")))
-    runs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(longest)),
-            lambda n: F.transform(
-                F.filter(F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1))), lambda i: i + n - 1 <= F.size("words")),
-                lambda i: F.struct(
-                    i.alias("start"), n.alias("length"), F.array_join(F.slice("words", i, n), " ").alias("phrase"),
-                    F.coalesce(F.get("words", i - 2) == "not", F.lit(False)).alias("negated"),
-                ),
-            ),
-        )
+    words = lowered.select("query_id", tokens(F.col("t")).alias("words")).filter(F.size("words") > 0)
+    starts = F.transform(
+        "words",
+        lambda w, i: F.struct(
+            (i + 1).alias("start"), F.array_distinct(F.array(w, F.concat_ws(" ", w, F.get("words", i + 1)))).alias("keys"),
+            F.coalesce(F.get("words", i - 1) == "not", F.lit(False)).alias("negated"),
+        ),
     )
-    found = words.select("query_id", F.explode(runs).alias("r")).select("query_id", "r.*").join(small_side(phrases), "phrase")
+    asked = words.select("query_id", F.explode(starts).alias("s")).select("query_id", "s.start", "s.negated", F.explode("s.keys").alias("key"))
+    met = asked.join(small_side(phrases), "key")
+    # The first two words are equal by the key; only longer values are compared with the text again.
+    longer = met.filter("length > 2").join(words, "query_id").filter(F.array_join(F.slice("words", F.col("start"), F.col("length")), " ") == F.col("phrase")).drop("words")
+    found = met.filter("length <= 2").unionByName(longer)
     # A query is short, so the lists per query are too.
     def listed(category, negated):
         mine = (F.col("category") == category) & (F.col("negated") == negated)
