@@ -72,7 +72,7 @@ class ByteCNN:
 
 
 def train(texts: list[bytes], labels: list[int], epochs: int = 8, batch: int = 64, rate: float = 0.01, most_chunks: int = 12, seed: int = 7) -> ByteCNN:
-    """Fits the network by Adam on the labelled texts; of a long text ``most_chunks`` evenly spread chunks are drawn for each epoch.
+    """Fits the network by Adam on the labelled texts; of a long text ``most_chunks`` evenly spread chunks are taken, the same in all epochs.
 
     The two labels weigh the same in sum. With one label only, or none, the network answers that label's smoothed share.
     """
