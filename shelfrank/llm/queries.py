@@ -154,6 +154,7 @@ def _templates_sql() -> str:
     return ", ".join(rows)
 
 
+_ANCHORS = ", ".join(f"'{a}'" for a in license_scan.anchors_of(license_scan.TEMPLATES, license_scan.THRESHOLD))
 OP9_SQL = rf"""
 WITH templates(license, theirs) AS (VALUES {_templates_sql()}),
 lines AS (SELECT doc_id, 'line' AS kind, unnest(string_split(text, E'\n')) AS body, generate_subscripts(string_split(text, E'\n'), 1) AS number FROM documents),
@@ -163,8 +164,20 @@ units AS (SELECT * FROM lines UNION ALL SELECT * FROM blocks WHERE contains(body
 words AS (SELECT doc_id, kind, number, string_split(trim(regexp_replace(translate(body, '{license_scan.UPPER}', '{license_scan.LOWER}'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM units),
 pairs AS (SELECT doc_id, kind, number, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS mine FROM words WHERE len(w) > 1),
 met AS (SELECT doc_id, kind, number, license, len(list_intersect(mine, theirs)) AS shared, len(mine) AS a, len(theirs) AS b FROM pairs, templates),
-best AS (SELECT *, 2 * shared::double / (a + b) AS score, row_number() OVER (PARTITION BY doc_id, kind, number ORDER BY 2 * shared::double / (a + b) DESC, license) AS r FROM met)
-SELECT doc_id, kind, number::int AS number, license, shared::int AS shared, a::int AS unit_bigrams, round(score, 6) AS dice FROM best WHERE r = 1 AND score >= {license_scan.THRESHOLD}"""
+best AS (SELECT *, 2 * shared::double / (a + b) AS score, row_number() OVER (PARTITION BY doc_id, kind, number ORDER BY 2 * shared::double / (a + b) DESC, license) AS r FROM met),
+numbered AS (SELECT doc_id, number, list_filter(regexp_split_to_array(translate(body, '{license_scan.UPPER}', '{license_scan.LOWER}'), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM lines),
+marked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY number) AS place FROM (
+  SELECT *, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY number) AS upto FROM numbered) WHERE list_has_any(w, [{_ANCHORS}])),
+spans AS (SELECT f.doc_id, f.number, f.place, l.number AS last, (SELECT list(x ORDER BY n.number, x_at) FROM (SELECT number, unnest(w) AS x, generate_subscripts(w, 1) AS x_at FROM numbered i WHERE i.doc_id = f.doc_id AND i.number BETWEEN f.number AND l.number) n) AS w
+  FROM marked f JOIN marked l ON f.doc_id = l.doc_id AND l.place > f.place AND l.upto - f.upto + len(f.w) <= {license_scan.longest_run(license_scan.TEMPLATES, license_scan.THRESHOLD)}),
+run_pairs AS (SELECT doc_id, number, place, last, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS mine FROM spans),
+run_met AS (SELECT doc_id, number, place, last, license, len(list_intersect(mine, theirs)) AS shared, len(mine) AS a, len(theirs) AS b FROM run_pairs, templates),
+run_best AS (SELECT *, 2 * shared::double / (a + b) AS score FROM run_met WHERE 2 * shared::double / (a + b) >= {license_scan.THRESHOLD}
+  QUALIFY row_number() OVER (PARTITION BY doc_id, number ORDER BY 2 * shared::double / (a + b) DESC, last, license) = 1),
+run_kept AS (SELECT r.* FROM run_best r LEFT JOIN run_best p ON p.doc_id = r.doc_id AND p.place = r.place - 1 AND p.last = r.last AND p.score >= r.score
+  LEFT JOIN run_best n ON n.doc_id = r.doc_id AND n.place = r.place + 1 AND n.last = r.last AND n.score > r.score WHERE p.doc_id IS NULL AND n.doc_id IS NULL)
+SELECT doc_id, kind, number::int AS number, NULL::int AS last, license, shared::int AS shared, a::int AS unit_bigrams, round(score, 6) AS dice FROM best WHERE r = 1 AND score >= {license_scan.THRESHOLD}
+UNION ALL SELECT doc_id, 'run', number::int, last::int, license, shared::int, a::int, round(score, 6) FROM run_kept"""
 
 OP7_SQL = """
 WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS e FROM embeddings

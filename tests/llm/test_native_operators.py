@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,12 +98,51 @@ def test_licences_in_texts(spark):
     ]
     frame = spark.createDataFrame(texts, "doc_id bigint, text string, kind string")
     got = sorted(((r.id, r.kind, r.number, r.license) for r in ls.license_scan(frame).collect()), key=str)
-    assert got == sorted([(1, "text", 1, "MIT"), (2, "line", 3, "Apache-2.0 line"), (2, "block", 2, "Apache-2.0 notice"), (2, "text", 1, "Apache-2.0 notice"), (3, "line", 3, "MIT line"), (6, "text", 1, "MIT"), (6, "text", 1, "MIT"), (7, "line", 2, "CC-BY-NC-4.0 line")], key=str)
+    assert got == sorted([(1, "text", 1, "MIT"), (2, "line", 3, "Apache-2.0 line"), (2, "block", 2, "Apache-2.0 notice"), (2, "text", 1, "Apache-2.0 notice"), (3, "line", 3, "MIT line"), (6, "text", 1, "MIT"), (6, "text", 1, "MIT"), (7, "line", 2, "CC-BY-NC-4.0 line")] + [(1, "run", 1, "MIT"), (2, "run", 3, "Apache-2.0 notice"), (6, "run", 1, "MIT"), (6, "run", 1, "MIT")], key=str)
     assert ls.license_scan(frame.filter(F.lit(False))).count() == 0
     with pytest.raises(ValueError):
         ls.license_scan(frame, templates={"x": "one"})
 
 
+def test_every_template_inside_a_long_text_is_a_run(spark):
+    """Also wrapped, with blank lines between its own, without blank lines around it, and twice in a row."""
+    prose = "\n".join(" ".join(f"prose{i}x{j}" for j in range(20)) for i in range(30))
+    shapes = {"plain": lambda t: t, "wrapped": lambda t: "\n".join(textwrap.fill(b, 60) for b in t.split("\n")), "wide": lambda t: t.replace("\n", "\n\n\n"), "twice": lambda t: t + "\n\n" + t}
+    names = [n for n, t in ls.TEMPLATES.items() if "\n" in t]
+    rows, wanted = [], {}
+    for i, (name, shape) in enumerate((n, s) for n in names for s in shapes):
+        body = shapes[shape](ls.TEMPLATES[name])
+        gap = "\n" if i % 2 else "\n\n"
+        rows.append((i, prose + gap + body + gap + prose, "x"))
+        one = shapes["plain" if shape == "twice" else shape](ls.TEMPLATES[name]).count("\n")
+        first = 30 + len(gap)
+        wanted[i] = [(name, first, first + one)] + ([(name, first + one + 2, first + 2 * one + 2)] if shape == "twice" else [])
+    got = ls.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string, kind string")).filter("kind = 'run'").collect()
+    for i, places in wanted.items():
+        mine = [r for r in got if r.id == i]
+        for name, first, last in places:
+            # A last line of one word may hold no anchor, or no bigram that is not there already.
+            assert any(r.license == name and r.number == first and last - 1 <= r.last <= last and r.dice > 0.98 for r in mine), (i, name, mine)
+
+
+def test_runs_do_not_depend_on_how_lines_are_grouped(spark, monkeypatch):
+    draw = random.Random(9)
+    pieces = [b for t in ls.TEMPLATES.values() for b in textwrap.wrap(t, 50)] + ["", "a plain line", "the source of this version"]
+    rows = []
+    for i in range(30):
+        start = draw.randrange(len(pieces) - 40)
+        rows.append((i, "\n".join(p for p in pieces[start : start + 40] if draw.random() < 0.95)))
+    rows.append((30, "license\n" * 700 + "under the terms"))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = sorted(map(tuple, ls.license_scan(frame).collect()), key=str)
+    monkeypatch.setattr(ls, "LINES_TOGETHER", 3)
+    assert sorted(map(tuple, ls.license_scan(frame).collect()), key=str) == want and any(r[1] == "run" for r in want)
+    con = connect(SF)
+    con.register("made", frame.filter("doc_id < 30").toPandas())
+    con.execute("CREATE OR REPLACE VIEW documents AS SELECT doc_id::bigint AS doc_id, text FROM made")
+    assert compare(ls.license_scan(frame.filter("doc_id < 30")).withColumnRenamed("id", "doc_id"), con, queries.OP9_SQL) == ""
+
+
 def test_scan_matches_sql_on_odd_documents(spark):
     con = connect(SF)
     lines = [t.split("\n")[0] for t in ls.TEMPLATES.values()] + ["", " ", "all rights reserved", "Released under the MIT License, and more", "licensed under the apache license version 2", "é ü"]
