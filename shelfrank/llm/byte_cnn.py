@@ -71,8 +71,69 @@ class ByteCNN:
         return float(1 / (1 + np.exp(-np.clip(self.gathered(raw) @ self.weights + self.bias[0], -30, 30))))
 
 
-def train(texts: list[bytes], labels: list[int], epochs: int = 8, batch: int = 64, rate: float = 0.01, most_chunks: int = 12, seed: int = 7) -> ByteCNN:
-    """Fits the network by Adam on the labelled texts; of a long text ``most_chunks`` evenly spread chunks are taken, the same in all epochs.
+def sheets_of(raw: bytes) -> np.ndarray:
+    """(chunks, bytes of a chunk) of a whole text, filled up with padding; chunks are those the score looks at."""
+    reach, step = (BLOCK * CHUNK - 1) * STRIDE + WIDTH, BLOCK * STEP * STRIDE
+    n = max(1, -(-(len(raw) - (reach - step)) // step))
+    padded = np.full((n - 1) * step + reach, PAD, np.int16)
+    padded[: len(raw)] = np.frombuffer(raw, np.uint8)
+    return np.lib.stride_tricks.sliding_window_view(padded, reach)[::step]
+
+
+def batches(order, counts, most_texts: int, most_chunks: int):
+    """Runs of at most ``most_texts`` texts and ``most_chunks`` chunks; a text of more chunks is a run of its own."""
+    run, held = [], 0
+    for d in order:
+        if run and (len(run) == most_texts or held + counts[d] > most_chunks):
+            yield np.array(run)
+            run, held = [], 0
+        run.append(d)
+        held += counts[d]
+    if run:
+        yield np.array(run)
+
+
+def gradients(net: ByteCNN, data: np.ndarray, counts: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict:
+    """Gradients of the weighted mean log loss of some texts, whose chunks lie one after the other in ``data``."""
+    kind, size, rows = net.weights.dtype, BLOCK * CHUNK, len(data)
+    own = np.repeat(np.arange(len(counts)), counts)
+    bounds = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    vectors = net.embed[data]
+    view = np.lib.stride_tricks.as_strided(vectors, (rows, size, WIDTH * EMBED), (vectors.strides[0], STRIDE * vectors.strides[1], vectors.strides[2]))
+    flat = np.ascontiguousarray(view).reshape(-1, WIDTH * EMBED)
+    answers = (flat @ net.filters).reshape(rows, size, FILTERS)
+    # Windows of padding alone stay out, but for the first.
+    filled = np.maximum(1, -(-((data != PAD).sum(1) - WIDTH) // STRIDE) + 1)
+    answers[np.arange(size)[None, :] >= filled[:, None]] = -np.inf
+    where = answers.argmax(1)
+    top = np.take_along_axis(answers, where[:, None, :], 1)[:, 0] + net.shift
+    found = np.maximum(top, 0)
+    mean = np.add.reduceat(found, bounds, axis=0) / counts[:, None].astype(kind)
+    most = np.maximum.reduceat(found, bounds, axis=0)
+    inputs = np.concatenate([mean, most], 1)
+    p = 1 / (1 + np.exp(-np.clip(inputs @ net.weights + net.bias[0], -30, 30)))
+    error = ((p - target) * weight / len(counts)).astype(kind)
+    back = error[:, None] * net.weights[None, :]
+    is_most = found == most[own]
+    ties = np.add.reduceat(is_most.astype(kind), bounds, axis=0)
+    down = back[own, :FILTERS] / counts[own, None].astype(kind) + back[own, FILTERS:] * is_most / ties[own]
+    down *= top > 0
+    chosen = flat.reshape(rows, size, -1)[np.arange(rows)[:, None], where]
+    grads = {
+        "filters": np.einsum("rf,rfk->kf", down, chosen, optimize=True),
+        "shift": down.sum(0),
+        "weights": inputs.T @ error,
+        "bias": error.sum(keepdims=True),
+    }
+    spread = (down[:, :, None] * net.filters.T[None]).reshape(-1, EMBED)
+    seen = data[np.arange(rows)[:, None, None], (where * STRIDE)[:, :, None] + np.arange(WIDTH)].ravel()
+    grads["embed"] = np.stack([np.bincount(seen, spread[:, e], 257) for e in range(EMBED)], 1)
+    grads["embed"][PAD] = 0
+    return grads
+
+
+def train(texts: list[bytes], labels: list[int], epochs: int = 8, batch: int = 64, rate: float = 0.01, batch_chunks: int = 1024, seed: int = 7) -> ByteCNN:
+    """Fits the network by Adam on all chunks of the labelled texts; a step takes up to ``batch`` texts and about ``batch_chunks`` chunks.
 
     The two labels weigh the same in sum. With one label only, or none, the network answers that label's smoothed share.
     """
@@ -85,66 +146,14 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 8, batch: int = 6
         return net
     draw = np.random.default_rng(seed)
     weight = np.where(target == 1, len(target) / (2 * good), len(target) / (2 * (len(target) - good))).astype(np.float32)
-    size = BLOCK * CHUNK
-    reach = (size - 1) * STRIDE + WIDTH
-    step = BLOCK * STEP * STRIDE
-    sheets, owners = [], []
-    for i, raw in enumerate(texts):
-        data = np.frombuffer(raw, np.uint8).astype(np.int16)
-        starts = np.arange(0, max(1, len(data) - (reach - step)), step)
-        if len(starts) > most_chunks:
-            starts = starts[np.linspace(0, len(starts) - 1, most_chunks).round().astype(int)]
-        for at in starts:
-            sheet = np.full(reach, PAD, np.int16)
-            sheet[: len(data[at : at + reach])] = data[at : at + reach]
-            sheets.append(sheet)
-            owners.append(i)
-    sheets, owners = np.stack(sheets), np.asarray(owners)
-    first = np.searchsorted(owners, np.arange(len(texts) + 1))
+    counts = np.array([len(sheets_of(raw)) for raw in texts])
     names = ("embed", "filters", "shift", "weights", "bias")
     moments = {k: [np.zeros_like(getattr(net, k)), np.zeros_like(getattr(net, k))] for k in names}
-    offsets = np.arange(WIDTH)
     t = 0
     for epoch in range(epochs):
-        order = draw.permutation(len(texts))
-        for at in range(0, len(order), batch):
-            docs = order[at : at + batch]
-            counts = first[docs + 1] - first[docs]
-            rows = np.concatenate([np.arange(first[d], first[d + 1]) for d in docs])
-            own = np.repeat(np.arange(len(docs)), counts)
-            data = sheets[rows]
-            vectors = net.embed[data]
-            view = np.lib.stride_tricks.as_strided(vectors, (len(rows), size, WIDTH * EMBED), (vectors.strides[0], STRIDE * vectors.strides[1], vectors.strides[2]))
-            flat = np.ascontiguousarray(view).reshape(-1, WIDTH * EMBED)
-            answers = (flat @ net.filters).reshape(len(rows), size, FILTERS)
-            # Windows of padding alone stay out, but for the first.
-            filled = np.maximum(1, -(-((data != PAD).sum(1) - WIDTH) // STRIDE) + 1)
-            answers[np.arange(size)[None, :] >= filled[:, None]] = -np.inf
-            where = answers.argmax(1)
-            top = np.take_along_axis(answers, where[:, None, :], 1)[:, 0] + net.shift
-            found = np.maximum(top, 0)
-            bounds = np.concatenate([[0], np.cumsum(counts)[:-1]])
-            mean = np.add.reduceat(found, bounds, axis=0) / counts[:, None]
-            most = np.maximum.reduceat(found, bounds, axis=0)
-            inputs = np.concatenate([mean, most], 1)
-            p = 1 / (1 + np.exp(-np.clip(inputs @ net.weights + net.bias[0], -30, 30)))
-            error = ((p - target[docs]) * weight[docs] / len(docs)).astype(np.float32)
-            back = error[:, None] * net.weights[None, :]
-            is_most = found == most[own]
-            ties = np.add.reduceat(is_most.astype(np.float32), bounds, axis=0)
-            down = back[own, :FILTERS] / counts[own, None] + back[own, FILTERS:] * is_most / ties[own]
-            down *= top > 0
-            chosen = flat.reshape(len(rows), size, -1)[np.arange(len(rows))[:, None], where]
-            grads = {
-                "filters": np.einsum("rf,rfk->kf", down, chosen, optimize=True),
-                "shift": down.sum(0),
-                "weights": inputs.T @ error + 1e-4 * net.weights,
-                "bias": error.sum(keepdims=True),
-            }
-            spread = (down[:, :, None] * net.filters.T[None]).reshape(-1, EMBED)
-            seen = data[np.arange(len(rows))[:, None, None], (where * STRIDE)[:, :, None] + offsets].ravel()
-            grads["embed"] = np.stack([np.bincount(seen, spread[:, e], 257) for e in range(EMBED)], 1)
-            grads["embed"][PAD] = 0
+        for docs in batches(draw.permutation(len(texts)), counts, batch, batch_chunks):
+            grads = gradients(net, np.concatenate([sheets_of(texts[d]) for d in docs]), counts[docs], target[docs], weight[docs])
+            grads["weights"] += 1e-4 * net.weights
             t += 1
             pace = rate * (0.5 + 0.5 * np.cos(np.pi * epoch / epochs)) * (1 - 0.999**t) ** 0.5 / (1 - 0.9**t)
             for k in names:
@@ -161,18 +170,27 @@ def labelled_sample(df: DataFrame, labels: DataFrame, learn: Column, most_rows:
 
     Ids with a null label are left out; of several labels of an id the smallest counts, and of
     several texts one. At most ``most_rows`` ids are sent to the scan of the texts, and texts
-    over ``most_bytes`` are not trained on, so the driver gets a bounded number of bytes.
+    over ``most_bytes`` are not trained on. Rows come in the order of their id hashes.
     """
     known = pick(labels, id=id_col, label=label_col).filter(F.col("label").isin(0, 1) & F.col("id").isNotNull())
     drawn = known.filter(learn).groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most_rows)
     texts = pick(df, id=id_col, text=text_col).join(F.broadcast(drawn), "id").select("id", "label", utf8(F.col("text")).alias("raw"))
-    return texts.filter(F.octet_length("raw") <= most_bytes).groupBy("id").agg(F.min(F.struct("label", "raw")).alias("one")).orderBy("id").select("one.raw", "one.label")
+    return texts.filter(F.octet_length("raw") <= most_bytes).groupBy("id").agg(F.min(F.struct("label", "raw")).alias("one")).orderBy(F.xxhash64("id"), "id").select("one.raw", "one.label")
+
 
+def fit(sample: DataFrame, most_total: int = 2**26, **how) -> ByteCNN:
+    """The network trained on a bounded sample (raw, label), of whose rows the first ``most_total`` bytes are taken, in whole rows.
 
-def fit(sample: DataFrame, **how) -> ByteCNN:
-    """The network trained on a bounded sample (raw, label)."""
-    rows = sample.collect()
-    return train([bytes(r.raw) for r in rows], [r.label for r in rows], **how)
+    Rows come to the driver partition by partition, so it never holds much more than ``most_total``.
+    """
+    texts, labels, held = [], [], 0
+    for row in sample.toLocalIterator():
+        held += len(row.raw)
+        if held > most_total:
+            break
+        texts.append(bytes(row.raw))
+        labels.append(row.label)
+    return train(texts, labels, **how)
 
 
 def scored(df: DataFrame, net: ByteCNN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
