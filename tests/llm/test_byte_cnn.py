@@ -58,74 +58,6 @@ def test_training_learns_a_pattern_anywhere():
     assert right >= 90
 
 
-def test_training_sees_all_chunks():
-    draw = random.Random(8)
-    for size in (0, 1, 8, 1027, 1028, 1029, 9001, 40_000):
-        raw = bytes(draw.randrange(256) for _ in range(size))
-        sheets = bc.sheets_of(raw)
-        step = bc.BLOCK * bc.STEP * bc.STRIDE
-        back = np.full(max(size, 1) + sheets.shape[1], bc.PAD)
-        for i, sheet in enumerate(sheets):
-            back[i * step : i * step + len(sheet)] = sheet[: len(back) - i * step]
-        assert bytes(back[:size].astype(np.uint8)) == raw and (back[size:] == bc.PAD).all()
-        assert len(sheets) == len(plain_maxima(bc.ByteCNN(1), raw))
-    # The only sign of the label stands in one of some forty chunks, anywhere.
-    texts, labels = [], []
-    for i in range(240):
-        body = bytearray(draw.choice(b"abcdefgh ") for _ in range(30_000))
-        if i % 2:
-            at = draw.randrange(len(body) - 20)
-            body[at : at + 12] = b"#$%#$%#$%#$%"
-        texts.append(bytes(body))
-        labels.append(i % 2)
-    net = bc.train(texts[:180], labels[:180], epochs=12, batch=8, rate=0.02)
-    assert sum((net.score(t) >= 0.5) == bool(y) for t, y in zip(texts[180:], labels[180:])) >= 50
-
-
-def test_batches_hold_every_text_once():
-    counts = np.array([1, 5000, 3, 700, 400, 1, 1])
-    order = np.array([3, 4, 1, 0, 2, 5, 6])
-    runs = list(bc.batches(order, counts, 3, 1024))
-    assert np.concatenate(runs).tolist() == order.tolist()
-    assert all(len(r) <= 3 and (counts[r].sum() <= 1024 or len(r) == 1) for r in runs)
-    assert list(bc.batches([], counts, 3, 10)) == []
-
-
-def test_gradients_equal_differences():
-    net = bc.ByteCNN(5)
-    draw = np.random.default_rng(6)
-    for k in ("embed", "filters", "shift", "weights", "bias"):
-        setattr(net, k, getattr(net, k).astype(np.float64))
-    net.weights[:] = draw.normal(0, 0.5, net.weights.shape)
-    net.shift[:] = draw.normal(0, 0.1, net.shift.shape)
-    texts = [draw.integers(0, 256, n).astype(np.uint8).tobytes() for n in (0, 5, 40, 1500, 3000)]
-    target, weight = np.array([0.0, 1, 1, 0, 1]), np.array([1.0, 0.5, 2, 1, 1])
-    sheets = [bc.sheets_of(t) for t in texts]
-    data, counts = np.concatenate(sheets), np.array([len(s) for s in sheets])
-
-    def loss():
-        p = np.array([1 / (1 + np.exp(-(np.concatenate([m.mean(0), m.max(0)]) @ net.weights + net.bias[0]))) for m in (plain_maxima(net, t) for t in texts)])
-        return float((weight * -(target * np.log(p) + (1 - target) * np.log(1 - p))).mean())
-
-    got = bc.gradients(net, data, counts, target, weight)
-    for k, grad in got.items():
-        values = getattr(net, k).reshape(-1)
-        for i in np.argsort(-np.abs(grad.reshape(-1)))[[0, len(values) // 4]]:
-            kept, h = values[i], 1e-6
-            values[i] = kept + h
-            up = loss()
-            values[i] = kept - h
-            down = loss()
-            values[i] = kept
-            assert abs((up - down) / (2 * h) - grad.reshape(-1)[i]) < 1e-5, (k, i)
-
-
-def test_sample_is_bounded_in_bytes(spark):
-    sample = spark.createDataFrame([(bytearray(b"a" * 100), 1), (bytearray(b"b" * 100), 0), (bytearray(b"c" * 100), 0)], "raw binary, label int").coalesce(1)
-    for total, share in ((50, 1 / 2), (100, 2 / 3)):
-        assert abs(bc.fit(sample, most_total=total).score(b"x") - share) < 1e-6
-
-
 def test_held_out_accuracy_of_the_query(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
