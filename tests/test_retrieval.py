@@ -270,3 +270,15 @@ def test_one_word_in_every_text(spark, monkeypatch, limit):
     assert min(rows, key=lambda r: r.w).term == "the"
     if limit > 1:
         assert "BroadcastHashJoin" in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_queries_move_few_rows(spark, monkeypatch):
+    """Unfiltered blocks are as large as memory allows: a document is not sent once per thousand queries."""
+    docs = spark.range(300).select(F.col("id").alias("product_id"), F.array(F.sin("id"), F.cos("id"), F.sin(F.col("id") * 7)).alias("vector"))
+    asked = spark.range(2500).select(F.col("id").alias("query_id"), F.array(F.sin(F.col("id") * 3), F.cos(F.col("id") * 5), F.lit(0.5)).alias("vector"))
+    sent, run = [], vec.dealt
+    monkeypatch.setattr(vec, "dealt", lambda left, right, key, groups: (sent.append((left.count(), right.count(), groups)), run(left, right, key, groups))[1])
+    got = sorted((r.query_id, r.position, r.product_id, r.score) for r in vec.dense_topk(docs, asked, 4).collect())
+    assert sent == [(300, 2500, 1)]
+    monkeypatch.setattr(vec, "TILE_SCORES", 1000)
+    assert got == sorted((r.query_id, r.position, r.product_id, r.score) for r in vec.dense_topk(docs, asked, 4, max_inline=5000).collect()) and len(got) == 10000
