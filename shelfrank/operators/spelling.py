@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfrank.functions.lookup import small_side
 from shelfrank.functions.text import explode_tokens, tokens
+from shelfrank.session import materialize
 
 MOST_EDITS = 2
 # Words up to this many letters are indexed by deletions; pairs with a longer word by parts.
@@ -90,10 +91,11 @@ def spelling_repairs(words: DataFrame, corpus: DataFrame, least: int = 2) -> Dat
     equally near ones the most frequent, then the one that sorts first. Words of fewer than three letters and words with a
     digit stay unrepaired; up to four letters one edit is allowed, else two. Null words are left out.
     """
-    known = corpus.filter(F.col("n") >= least)
+    # Counted once: the words are read by the look-up of unknown ones and by both indexes.
+    known = materialize(corpus.filter(F.col("n") >= least))
     asked = words.select("word").filter(F.col("word").isNotNull() & (allowed_edits(F.col("word")) > 0) & ~F.col("word").rlike(r"\p{N}")).distinct()
     # The queries' keys are the small side as a rule; the corpus's index then never moves.
-    unknown = asked.join(known.select("word"), "word", "left_anti")
+    unknown = materialize(asked.join(known.select("word"), "word", "left_anti"))
     met = index_keys(known).join(small_side(lookup_keys(unknown)), "key")
     near = met.withColumn("edits", F.levenshtein("word", "candidate", MOST_EDITS)).filter((F.col("edits") >= 0) & (F.col("edits") <= allowed_edits(F.col("word"))))
     best = F.min(F.struct("edits", (-F.col("n")).alias("rarity"), "candidate"))
@@ -106,7 +108,7 @@ def repair_queries(queries: DataFrame, corpus: DataFrame, text: str = "query_tex
     Query ids are unique. A query without words has the empty text.
     """
     words = queries.select("query_id", F.posexplode_outer(tokens(F.col(text))).alias("position", "word"))
-    repairs = small_side(spelling_repairs(words.select("word"), corpus, least).select("word", "repair"))
+    repairs = small_side(materialize(spelling_repairs(words.select("word"), corpus, least).select("word", "repair")))
     shown = words.join(repairs, "word", "left")
     in_order = F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("position", F.coalesce("repair", "word").alias("word")))))
     return shown.groupBy("query_id").agg(F.array_join(in_order.getField("word"), " ").alias("search_text"), F.count("repair").alias("n_repaired"))

@@ -83,3 +83,11 @@ def test_texts(spark):
     none = spelling.repair_queries(spark.createDataFrame(asked, "query_id string, query_text string"), spelling.corpus_words(docs.filter(F.lit(False))))
     assert none.filter("n_repaired > 0").isEmpty() and none.count() == 5
     assert spelling.repair_queries(spark.createDataFrame([], "query_id string, query_text string"), spelling.corpus_words(docs)).isEmpty()
+
+
+def test_the_corpus_is_counted_once(spark):
+    """What is returned reads written words: no plan branch cuts the documents into words again."""
+    docs = spark.createDataFrame([("solid wooden table solid wooden table",)], "text string")
+    got = spelling.spelling_repairs(spark.createDataFrame([("tabel",)], "word string"), spelling.corpus_words(docs))
+    assert "split(" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [(r.word, r.repair, r.edits) for r in got.collect()] == [("tabel", "table", 2)]
