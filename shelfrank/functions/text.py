@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, functions as F
 
+from shelfrank.functions.lookup import bind
+
 
 WHITE_SPACE = " \t\n\r\f\x0b"
 WORD = r"[\p{L}\p{N}]+"
@@ -40,6 +42,20 @@ def explode_tokens(words: Column) -> Column:
     return F.explode_outer(words)
 
 
+def term_counts(words: Column) -> Column:
+    """array of struct(term, tf): the distinct words of a list and how often each stands in it."""
+
+    def runs(ordered):
+        n = F.size(ordered)
+        places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+        return bind(
+            starts, lambda s: F.transform(s, lambda at, j: F.struct(F.get(ordered, at).alias("term"), (F.coalesce(F.get(s, j + 1), n) - at).cast("long").alias("tf")))
+        )
+
+    return bind(F.sort_array(words), runs)
+
+
 def bigrams(words: Column) -> Column:
     """Adjacent word pairs joined by one blank."""
     return F.when(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfrank.functions.lookup import MAX_BROADCAST_ROWS, as_map, fits_inline, small_side
 from shelfrank.functions.ranking import top_k
-from shelfrank.functions.text import explode_tokens, token_count, tokens
+from shelfrank.functions.text import explode_tokens, term_counts, token_count, tokens
 from shelfrank.operators.filters import LIST_ATTRIBUTES, LIST_PARAMS, RANGE_PARAMS, RANGES, match_condition, prepare_params
 from shelfrank.session import materialize
 
@@ -53,17 +53,16 @@ def term_weight(tf: Column, df: Column, length: Column, mean_length: Column, doc
 def sparse_vectors(texts: DataFrame, key: str = "product_id") -> DataFrame:
     """Weight of every term of every document in long form: (key, term, tf, weight).
 
-    The terms' document counts are written first. A vocabulary of checked size goes to the documents' words, which then are not
+    Texts are cut into words once: each row's counts are written, one row a text. Only where a key stands twice with texts of one
+    length its counts are summed by an exchange. The terms' document counts are written next. A vocabulary of checked size goes to the documents' words, which then are not
     shuffled; a larger one is a plain join of two exchanges, where the optimizer splits a word found in every document.
     """
-    parts = texts.select(key, tokens(F.col("text")).alias("words"))
-    stats = texts.agg(F.struct(F.count("*").alias("docs"), F.avg(token_count(F.col("text"))).alias("mean_length"))).scalar()
-    counted = (
-        parts.select(key, F.size("words").alias("length"), explode_tokens(F.col("words")).alias("term"))
-        .filter(F.col("term").isNotNull())
-        .groupBy(key, "length", "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    words = texts.select(key, tokens(F.col("text")).alias("words"))
+    parts = materialize(words.select(key, F.size("words").alias("length"), term_counts(F.col("words")).alias("counts")))
+    stats = parts.agg(F.struct(F.count("*").alias("docs"), F.avg("length").alias("mean_length"))).scalar()
+    counted = parts.select(key, "length", explode_tokens(F.col("counts")).alias("c")).filter(F.col("c").isNotNull()).select(key, "length", "c.term", "c.tf")
+    if not parts.groupBy(key, "length").count().filter("count > 1").isEmpty():
+        counted = counted.groupBy(key, "length", "term").agg(F.sum("tf").alias("tf"))
     spread = materialize(counted.groupBy("term").agg(F.count("*").alias("df")))
     return (
         counted.join(small_side(spread), "term")
@@ -98,11 +97,13 @@ def asked_weights(texts: DataFrame, terms: DataFrame, send) -> DataFrame:
     """(product_id, term, weight) of the words some query asks for, summed over fields; ``send`` marks tables of checked size for broadcast."""
     vocabulary = terms.select("term").distinct()
     words = texts.select("product_id", "field", "boost", tokens(F.col("text")).alias("words"))
+    # Counted inside the row, so a word moves once per text; equal rows are summed behind the exchange.
     found = by_document(
-        words.select("product_id", "field", "boost", F.size("words").alias("length"), explode_tokens(F.col("words")).alias("term"))
+        words.select("product_id", "field", "boost", F.size("words").alias("length"), explode_tokens(term_counts(F.col("words"))).alias("c"))
+        .select("product_id", "field", "boost", "length", "c.term", "c.tf")
         .join(send(vocabulary), "term", "left_semi")
     )
-    counted = found.groupBy("product_id", "field", "boost", "length", "term").agg(F.count("*").alias("tf"))
+    counted = found.groupBy("product_id", "field", "boost", "length", "term").agg(F.sum("tf").alias("tf"))
     # About as large as the vocabulary.
     spread = counted.groupBy("field", "term").agg(F.count("*").alias("df"))
     # One entry per field, of which there are a handful.

@@ -282,3 +282,15 @@ def test_many_queries_move_few_rows(spark, monkeypatch):
     assert sent == [(300, 2500, 1)]
     monkeypatch.setattr(vec, "TILE_SCORES", 1000)
     assert got == sorted((r.query_id, r.position, r.product_id, r.score) for r in vec.dense_topk(docs, asked, 4, max_inline=5000).collect()) and len(got) == 10000
+
+
+def test_sparse_vectors_cut_texts_once(spark):
+    """Words are counted inside their row: unique keys need no exchange of words; rows of one key and length are summed."""
+    texts = [(1, "b a b"), (2, ""), (3, None), (4, "A c"), (5, "b")]
+    unique = ts.sparse_vectors(spark.createDataFrame(texts, "product_id long, text string"))
+    plan = unique._jdf.queryExecution().executedPlan().toString()
+    assert "split(" not in plan and "hashpartitioning(product_id" not in plan
+    assert {(r.product_id, r.term): r.tf for r in unique.collect()} == {(1, "a"): 1, (1, "b"): 2, (4, "a"): 1, (4, "c"): 1, (5, "b"): 1}
+    twice = ts.sparse_vectors(spark.createDataFrame(texts + [(1, "b c d"), (4, "x")], "product_id long, text string"))
+    got = sorted((r.product_id, r.term, r.tf) for r in twice.collect())
+    assert got == [(1, "a", 1), (1, "b", 3), (1, "c", 1), (1, "d", 1), (4, "a", 1), (4, "c", 1), (4, "x", 1), (5, "b", 1)]
