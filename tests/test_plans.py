@@ -116,3 +116,11 @@ def test_skewed_filter_value(spark):
     asked = spark.createDataFrame([("a", ["red"], 300.0), ("b", ["red", "c1"], None), ("c", None, 9.0)], "query_id string, color array<string>, price_max double")
     got = {r.query_id: r["count"] for r in filters.param_filter(products, asked).groupBy("query_id").count().collect()}
     assert got == {"a": 101, "b": 1001, "c": 10}
+
+
+def test_systems_are_ranked_where_their_lines_are(spark):
+    """Lines move once, before there is a row of each system; ranking and scoring need no second exchange of predictions."""
+    text = plan(ev.pred_topk(view(spark, SF, "systems", dealt=True)))
+    assert text.count("Exchange ") == 1 and text.index("Generate explode") < text.index("Exchange hashpartitioning(query_id")
+    scored = plan(ev.eval_by_query(view(spark, SF, "systems", dealt=True), view(spark, SF, "truth")))
+    assert scored.count("REPARTITION_BY_NUM") == 1 and not re.search(r"Exchange hashpartitioning\((system|query_id#\d+, product_id)", scored)
