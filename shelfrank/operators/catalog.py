@@ -235,6 +235,16 @@ def null_audit(df: DataFrame) -> DataFrame:
     return counted.unpivot([], df.columns, "column_name", "nulls")
 
 
+# Bytes of one partition of a forest's training rows: a row is a place per feature and a count per tree there, whatever its words.
+TRAINING_BYTES = 256 << 20
+
+
+def training_rows(df: DataFrame, features: int, trees: int, most_bytes: int = TRAINING_BYTES) -> DataFrame:
+    """``df`` dealt evenly into as many partitions as keep each one's training rows within ``most_bytes``; a table that fits one stays as it is."""
+    parts = -(-df.count() * 4 * (features + trees) // most_bytes)
+    return df.repartition(parts) if parts > 1 else df
+
+
 def predict_class(df: DataFrame, trees: int = 100, seed: int = 42, features: int = 2**12, depth: int = 10) -> DataFrame:
     """Fill null classes with a random forest trained on the rows that have one.
 
@@ -265,7 +275,7 @@ def predict_class(df: DataFrame, trees: int = 100, seed: int = 42, features: int
             IndexToString(inputCol="_guess", outputCol="_class", labels=labels.labels),
         ]
     )
-    model = pipeline.fit(labels.transform(known))
+    model = pipeline.fit(training_rows(labels.transform(known), features, trees))
     filled = model.transform(unknown).withColumn("product_class", F.col("_class"))
     return known.select(*df.columns).unionByName(filled.select(*df.columns))
 

@@ -152,3 +152,11 @@ def test_quantiles_against_sorted_list(spark):
         lo, hi = clean[math.floor(at)], clean[math.ceil(at)]
         assert floor[label] == clean[int(at)]
         assert abs(mixed[label] - (lo + (hi - lo) * (at - math.floor(at)))) < 1e-9
+
+
+def test_training_rows_are_bounded_per_partition(spark):
+    """A forest's rows are as wide as its features whatever their words: no partition holds more than the bytes allow."""
+    df = spark.range(1000).coalesce(1)
+    assert cat.training_rows(df, 64, 10) is df
+    dealt = cat.training_rows(df, 64, 10, most_bytes=4 * 74 * 100).rdd.glom().map(len).collect()
+    assert sum(dealt) == 1000 and len(dealt) == 10 and max(dealt) <= 150
