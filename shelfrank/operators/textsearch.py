@@ -83,6 +83,29 @@ def query_terms(queries: DataFrame, text: str = "query_text") -> DataFrame:
     )
 
 
+def few_words(queries: DataFrame, text: str, limit: int) -> bool:
+    """True when the queries have at most ``limit`` words, repeats included; reads no more than that."""
+    return fits_inline(queries.select(F.explode(tokens(F.col(text)))), limit)
+
+
+def word_sets(terms: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(terms, members): the distinct sets of known words and counts as queries of their own, and (query_id, word_set) of every query.
+
+    Words no document holds add nothing to a score, so queries that differ only in these have the same rows.
+    """
+    held = terms.join(small_side(known), "term", "left_semi")
+    asked = materialize(held.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "qtf"))).alias("words")))
+    sets = materialize(asked.select("words").distinct().withColumn("word_set", F.monotonically_increasing_id()))
+    members = asked.join(small_side(sets), "words").select("query_id", "word_set")
+    return sets.select(F.col("word_set").alias("query_id"), F.explode("words").alias("w")).select("query_id", "w.term", "w.qtf"), members
+
+
+def for_members(found: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows found for word sets, for every query that asks for them."""
+    found = materialize(found.withColumnRenamed("query_id", "word_set"))
+    return members.join(small_side(found), "word_set").select("query_id", "product_id", "score", "position")
+
+
 def by_document(df: DataFrame) -> DataFrame:
     """Partition by document in as many parts as the session shuffles into.
 
@@ -133,12 +156,21 @@ def search_texts(texts: DataFrame, queries: DataFrame, n: int, text: str = "quer
     that partitioning, and each task passes on n rows per query. A term found in most
     documents therefore never moves its document-query pairs over the network.
 
-    Query words beyond ``max_terms`` rows are searched in blocks of about that size over
-    the same written document weights.
+    Of a query set with more than ``max_terms`` words, queries that ask for the same known words are searched
+    once, unless each has conditions of its own. What is left beyond ``max_terms`` rows is searched in blocks of
+    about that size over the same written document weights.
     """
     terms = query_terms(queries, text)
-    small = fits_inline(terms, max_terms)
-    weighted = asked_weights(texts, terms, F.broadcast if small else (lambda table: table))
+    small = few_words(queries, text, max_terms)
+    asked_words = terms if small else materialize(terms.select("term").distinct())
+    send = F.broadcast if small or fits_inline(asked_words, MAX_BROADCAST_ROWS) else (lambda table: table)
+    weighted = asked_weights(texts, asked_words, send)
+    members = None
+    if not small:
+        weighted = materialize(weighted)
+        if products is None:
+            terms, members = word_sets(terms, weighted.select("term").distinct())
+        weighted = by_document(weighted)
     if products is not None:
         attributes = F.struct(*LIST_ATTRIBUTES, *[r[0] for r in RANGES]).alias("p")
         weighted = weighted.join(products.select("product_id", attributes), "product_id")
@@ -157,10 +189,10 @@ def search_texts(texts: DataFrame, queries: DataFrame, n: int, text: str = "quer
     if small:
         return best(terms)
     terms = materialize(terms)
-    blocks = -(-terms.count() // max_terms)
-    weighted = by_document(materialize(weighted))
+    blocks = max(1, -(-terms.count() // max_terms))
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    return reduce(DataFrame.unionByName, [best(terms.filter(block == i)) for i in range(blocks)])
+    found = reduce(DataFrame.unionByName, [best(terms.filter(block == i)) for i in range(blocks)])
+    return found if members is None else for_members(found, members)
 
 
 def one_field(df: DataFrame, column: str = "text") -> DataFrame:

@@ -186,6 +186,18 @@ def test_search_in_blocks_agrees(spark):
     assert a == b and a
 
 
+def test_queries_with_the_same_known_words_are_searched_once(spark, monkeypatch):
+    texts = spark.createDataFrame([(f"d{i:02d}", f"Brand#{i % 4} {i % 7}") for i in range(60)] + [("blank", None)], "product_id string, text string")
+    lines = [(f"q{i:03d}", f"{i % 4} {i % 7} line{i}") for i in range(300)] + [(None, "3 5"), (None, "3"), ("twice", "2 2"), ("unknown", "zzz"), ("empty", None)]
+    asked = spark.createDataFrame(lines, "query_id string, query_text string")
+    want = sorted(map(str, ts.sparse_topk(texts, asked, 5).collect()))
+    sets = []
+    monkeypatch.setattr(ts, "word_sets", lambda *given, made=ts.word_sets: sets.append(made(*given)) or sets[-1])
+    assert sorted(map(str, ts.search_texts(ts.one_field(texts), asked, 5, max_terms=20).collect())) == want and want
+    # 22 pairs of words in any order, and the three words of the null query; "2 2" is one of the pairs.
+    assert sets[0][0].select("query_id").distinct().count() == 23 and sets[0][1].count() == 302
+
+
 def test_sparse_dot(spark):
     docs = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 1.0), ("b", 2, 5.0), ("c", 9, 1.0)], "product_id string, term int, weight double")
     asked = spark.createDataFrame([("q", 1, 1.0), ("q", 2, 0.5)], "query_id string, term int, weight double")
