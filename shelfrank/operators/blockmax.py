@@ -10,11 +10,11 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
-from shelfrank.functions.lookup import fits_inline, small_side
+from shelfrank.functions.lookup import MAX_BROADCAST_ROWS, fits_inline, small_side
 from shelfrank.functions.ranking import top_k
 from shelfrank.operators.catalog import assign_dense_ids
 from shelfrank.operators.filters import LIST_ATTRIBUTES, LIST_PARAMS, RANGE_PARAMS, RANGES, match_condition, prepare_params
-from shelfrank.operators.textsearch import SCORE_DIGITS, asked_weights, one_field, query_terms
+from shelfrank.operators.textsearch import SCORE_DIGITS, asked_weights, few_words, for_members, one_field, query_terms, word_sets
 from shelfrank.session import materialize
 
 BLOCK = 32
@@ -63,18 +63,27 @@ def bounded_scores(postings: DataFrame, terms: DataFrame, n: int, keep=None, blo
 
 def bounded_search(texts: DataFrame, queries: DataFrame, n: int, text: str = "query_text", products: DataFrame | None = None, absent: str = "positive", block: int = BLOCK) -> DataFrame:
     """The same rows as ``search_texts``: n best documents per query, (query_id, product_id, score, position)."""
-    terms = materialize(query_terms(queries, text))
+    terms = query_terms(queries, text)
+    many = not few_words(queries, text, MAX_BROADCAST_ROWS)
+    asked_words = materialize(terms.select("term").distinct() if many else terms)
     # A table of checked size goes to all tasks; of a larger one the optimizer decides.
-    send = F.broadcast if fits_inline(terms, 200_000) else (lambda table: table)
-    postings = materialize(blocked(asked_weights(texts, terms, send), block))
-    keep = None
+    send = F.broadcast if fits_inline(asked_words, MAX_BROADCAST_ROWS) else (lambda table: table)
+    postings = materialize(blocked(asked_weights(texts, asked_words, send), block))
+    keep = members = None
+    if not many:
+        terms = asked_words
+    elif products is None:
+        terms, members = word_sets(terms, postings.select("term").distinct())
+    else:
+        terms = materialize(terms)
     if products is not None:
         attributes = products.select("product_id", F.struct(*LIST_ATTRIBUTES, *[r[0] for r in RANGES]).alias("p"))
         params = prepare_params(queries, absent).select("query_id", F.struct(*LIST_PARAMS, *RANGE_PARAMS).alias("q"))
         matches = match_condition(lambda c: F.col(f"p.{c}"), lambda c: F.col(f"q.{c}"))
         # Once per pair, after its score is summed.
         keep = lambda pairs: pairs.join(attributes, "product_id").join(small_side(params), "query_id").filter(matches).select("query_id", "product_id", "score")
-    return top_k(bounded_scores(postings, terms, n, keep, block).scores, ["query_id"], [F.desc("score"), "product_id"], n)
+    found = top_k(bounded_scores(postings, terms, n, keep, block).scores, ["query_id"], [F.desc("score"), "product_id"], n)
+    return found if members is None else for_members(found, members)
 
 
 def bounded_topk(texts: DataFrame, queries: DataFrame, n: int = 120, text: str = "query_text", products: DataFrame | None = None, absent: str = "positive", block: int = BLOCK) -> DataFrame:

@@ -61,3 +61,15 @@ def test_few_blocks_are_scored(spark, tables):
 def test_empty_tables(tables):
     texts, asked, _ = tables
     assert blockmax.bounded_topk(texts.filter("false"), asked, 5).count() == 0 and blockmax.bounded_topk(texts, asked.filter("false"), 5).count() == 0
+
+
+def test_queries_with_the_same_known_words_are_searched_once(spark, monkeypatch):
+    texts = spark.createDataFrame([(f"d{i:02d}", f"Brand#{i % 4} {i % 7}") for i in range(60)], "product_id string, text string")
+    asked = spark.createDataFrame([(f"q{i:03d}", f"{i % 4} {i % 7} line{i}") for i in range(300)] + [(None, "3"), ("unknown", "zzz")], "query_id string, query_text string")
+    want = rows(textsearch.sparse_topk(texts, asked.filter("query_id is not null"), 5))
+    monkeypatch.setattr(blockmax, "MAX_BROADCAST_ROWS", 20)
+    searched = []
+    monkeypatch.setattr(blockmax, "bounded_scores", lambda postings, terms, *more, made=blockmax.bounded_scores: searched.append(terms) or made(postings, terms, *more))
+    got = blockmax.bounded_topk(texts, asked, 5, block=16)
+    assert rows(got.filter("query_id is not null")) == want and want and got.filter("query_id is null").count() == 5
+    assert searched[0].select("query_id").distinct().count() == 23
