@@ -117,18 +117,25 @@ def by_document(df: DataFrame) -> DataFrame:
 
 
 def asked_weights(texts: DataFrame, terms: DataFrame, send) -> DataFrame:
-    """(product_id, term, weight) of the words some query asks for, summed over fields; ``send`` marks tables of checked size for broadcast."""
+    """(product_id, term, weight) of the words some query asks for, summed over fields; ``send`` marks tables of checked size for broadcast.
+
+    Texts are partitioned by document before they are cut into words, once; equal rows are summed there. What is
+    asked for is written as one row a text, its words as one text, so frequencies and weights do not read the texts again.
+    """
     vocabulary = terms.select("term").distinct()
-    words = texts.select("product_id", "field", "boost", tokens(F.col("text")).alias("words"))
-    # Counted inside the row, so a word moves once per text; equal rows are summed behind the exchange.
-    found = by_document(
-        words.select("product_id", "field", "boost", F.size("words").alias("length"), explode_tokens(term_counts(F.col("words"))).alias("c"))
-        .select("product_id", "field", "boost", "length", "c.term", "c.tf")
-        .join(send(vocabulary), "term", "left_semi")
-    )
-    counted = found.groupBy("product_id", "field", "boost", "length", "term").agg(F.sum("tf").alias("tf"))
+    row = ["product_id", "field", "boost", "length"]
+    words = by_document(texts.select("product_id", "field", "boost", "text")).select("product_id", "field", "boost", tokens(F.col("text")).alias("words"))
+    found = words.select("product_id", "field", "boost", F.size("words").alias("length"), explode_tokens(F.col("words")).alias("term")).join(send(vocabulary), "term", "left_semi")
+    counts = found.groupBy(*row, "term").agg(F.count("*").alias("tf")).groupBy(*row).agg(F.collect_list(F.struct("term", "tf")).alias("c"))
+    # Words are letters and digits, so a blank parts them again.
+    texts_of = materialize(counts.select(*row, F.array_join("c.term", " ").alias("term"), F.col("c.tf").cast("array<int>").alias("tf")))
+    entries = F.arrays_zip(F.split("term", " ").alias("term"), F.col("tf").alias("tf"))
+
+    def unpacked(rows):
+        return rows.select(*row, F.explode(entries).alias("e")).select(*row, "e.term", "e.tf")
+
     # About as large as the vocabulary.
-    spread = counted.groupBy("field", "term").agg(F.count("*").alias("df"))
+    spread = materialize(unpacked(texts_of).groupBy("field", "term").agg(F.count("*").alias("df")))
     # One entry per field, of which there are a handful.
     lengths = as_map(
         texts.groupBy("field").agg(F.struct(F.count("*").alias("docs"), F.avg(token_count(F.col("text"))).alias("mean_length")).alias("stats")),
@@ -137,7 +144,7 @@ def asked_weights(texts: DataFrame, terms: DataFrame, send) -> DataFrame:
     stats = F.col("lengths")[F.col("field")]
     weight = term_weight(F.col("tf"), F.col("df"), F.col("length"), stats.mean_length, stats.docs)
     return (
-        counted.join(send(spread), ["field", "term"])
+        unpacked(by_document(texts_of)).join(send(spread), ["field", "term"])
         .withColumn("lengths", lengths)
         .groupBy("product_id", "term")
         .agg(F.sum(F.col("boost") * weight).alias("weight"))

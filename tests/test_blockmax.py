@@ -1,6 +1,7 @@
 """Bounded term search against the plain search: rows, conditions, and how much of the table is scored."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,5 +72,16 @@ def test_queries_with_the_same_known_words_are_searched_once(spark, monkeypatch)
     searched = []
     monkeypatch.setattr(blockmax, "bounded_scores", lambda postings, terms, *more, made=blockmax.bounded_scores: searched.append(terms) or made(postings, terms, *more))
     got = blockmax.bounded_topk(texts, asked, 5, block=16)
-    assert rows(got.filter("query_id is not null")) == want and want and got.filter("query_id is null").count() == 5
-    assert searched[0].select("query_id").distinct().count() == 23
+    assert rows(got) == want and want
+    assert searched[0].select("query_id").distinct().count() == 22
+
+
+def test_blocks_are_bounded_and_scored_where_they_are(spark, tables, monkeypatch):
+    """Packed documents move to their block; neither postings nor pairs of a query and a document do, and slots that queries share add no rows."""
+    texts, asked, _ = tables
+    want = rows(textsearch.sparse_topk(texts, asked, 7))
+    monkeypatch.setattr(blockmax, "MAX_SLOTS", 3)
+    found = blockmax.bounded_topk(texts, asked, 7, block=16)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(block" in plan and not re.search(r"Exchange hashpartitioning\((block#\d+L?, term|query_id#\d+, (block|product_id))", plan)
+    assert rows(found) == want and want
