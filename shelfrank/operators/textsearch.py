@@ -158,8 +158,8 @@ def search_texts(texts: DataFrame, queries: DataFrame, n: int, text: str = "quer
     ``texts`` has product_id, field, boost, text: statistics are per field, scores add
     up over fields. With ``products`` the per-query conditions apply before the cut.
 
-    Words no query asks for are dropped before any shuffle. What is left is partitioned
-    by document once; frequencies, conditions and scores are then all computed inside
+    Words no query asks for are dropped where the texts are cut into words. What is left is
+    partitioned by document; weights, conditions and scores are then all computed inside
     that partitioning, and each task passes on n rows per query. A term found in most
     documents therefore never moves its document-query pairs over the network.
 
