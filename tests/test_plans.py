@@ -124,3 +124,28 @@ def test_systems_are_ranked_where_their_lines_are(spark):
     assert text.count("Exchange ") == 1 and text.index("Generate explode") < text.index("Exchange hashpartitioning(query_id")
     scored = plan(ev.eval_by_query(view(spark, SF, "systems", dealt=True), view(spark, SF, "truth")))
     assert scored.count("REPARTITION_BY_NUM") == 1 and not re.search(r"Exchange hashpartitioning\((system|query_id#\d+, product_id)", scored)
+
+
+def test_predictions_are_scored_where_they_were_ranked(spark):
+    """Where the truth is too large to be sent whole, predictions still move only once, and each line has no column more than is needed."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(ev.evaluate_rankings(view(spark, SF, "systems", dealt=True), view(spark, SF, "truth"))[0])
+        exchanges = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+        assert not any(re.search(r"hashpartitioning\((system#\d+, \w+#\d+, \d+\)|_?query(_id)?#\d+, _?\w+#)", line) for line in exchanges)
+        assert sum("REPARTITION_BY_NUM" in line for line in exchanges) == 1 and "SortMergeJoin [query_id" in text
+        moved = [below for line, below in zip(text.splitlines(), text.splitlines()[1:]) if "Exchange hashpartitioning(query_id" in line]
+        assert moved and not any("supp_" in line for line in moved)
+        got = ev.evaluate_rankings(view(spark, SF, "systems", dealt=True), view(spark, SF, "truth"))[0].collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted(got) == sorted(ev.evaluate_rankings(view(spark, SF, "systems"), view(spark, SF, "truth"))[0].collect()) and got
+
+
+def test_documents_without_a_name_are_never_relevant(spark):
+    """Null documents and queries match nothing; a document shown twice counts twice."""
+    shown = spark.createDataFrame([("a-1", None, 1), ("a-1", "x", 2), ("a-1", "x", 3), (None, "x", 1), ("b-1", "y", 1)], "query_id string, product_id string, rank int")
+    truth = spark.createDataFrame([("a-1", None, 1), ("a-1", "x", 2), (None, "x", 1), ("b-1", "z", 1)], "query_id string, product_id string, rank int")
+    got = {r.query_id: (r.precision, r.recall, r.mrr, r.pred_docs, r.gt_size) for r in ev.eval_by_query(shown, truth).collect()}
+    assert got == {"a-1": (1.0, 1.0, 0.5, [None, "x", "x"], 2), "b-1": (0.0, 0.0, 0.0, ["y"], 1)}
